@@ -1 +1 @@
-
+"""Column functions and their driver-side twins."""

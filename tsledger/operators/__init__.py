@@ -1 +1 @@
-
+"""Operators over logs and points, as DataFrame plans."""

@@ -1 +1 @@
-
+"""Versions as files: manifests, and the plans that read them."""

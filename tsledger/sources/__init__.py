@@ -1 +1 @@
-
+"""Sources and sinks: tables of other libraries, CSV, JSON lines, text."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time as clock
 import uuid
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -211,9 +211,12 @@ class Writer:
     def write_table(self, device: str, data, time_column=None, unit=None, order_by: str | None = None, create: bool = False) -> None:
         """A table of any supported kind; a Spark DataFrame stays distributed.
 
-        Of equal times in a Spark DataFrame the last by ``order_by`` wins; without it times must be unique.
+        Of equal times in a Spark DataFrame the last by ``order_by`` wins, a column that the device need not have;
+        without it times must be unique.
         """
         source = adapters.normalize(data, time_column)
+        if order_by is not None and not (self.has_device(device) and self.device(device).column_index(order_by) is not None):
+            source = replace(source, columns=[c for c in source.columns if c.name != order_by])
         if create and not self.has_device(device):
             self.create_device(adapters.infer_device(device, source, unit))
         frame = adapters.to_rows(source, self.device(device), unit, self.spark, order_by)

@@ -233,15 +233,14 @@ def _from_pandas(frame, time_column: str | None) -> Source:
         name = _need(names, time_column) if time_column else guess_time_column(names, stamps)
         rest = dict(zip(names, (frame[c] for c in frame.columns)))
         times = rest.pop(name)
-    zone = getattr(getattr(times, "dt", times), "tz", None) if str(times.dtype).startswith("datetime64") else None
     if str(times.dtype).startswith("datetime64"):
-        if times.isna().any():
+        series = pd.Series(np.asarray(times)) if times.dtype.kind == "M" else times.to_series() if isinstance(times, pd.Index) else times
+        if series.isna().any():
             raise UnsupportedError("the time column has nulls")
-        bare = (times.dt if hasattr(times, "dt") else times).tz_convert("UTC").tz_localize(None) if hasattr(times, "dt") is False and zone else times.dt.tz_convert("UTC").dt.tz_localize(None) if zone else times
-        out = _time(name, np.asarray(bare.to_numpy()))
+        zone = series.dt.tz
+        out = _time(name, (series.dt.tz_convert("UTC").dt.tz_localize(None) if zone else series).to_numpy())
         if zone:
-            first = next(iter(times), None)
-            out.naive, out.timezone = False, offset_name(first.to_pydatetime(warn=False)) if first is not None else str(zone)
+            out.naive, out.timezone = False, getattr(zone, "key", getattr(zone, "zone", None)) or offset_name(dt.datetime(2000, 1, 1, tzinfo=zone))
     else:
         out = _time(name, pa.array(times) if times.dtype.kind in "iu" else times.tolist())
     for n, series in rest.items():

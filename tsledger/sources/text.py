@@ -16,8 +16,6 @@ from ..errors import InvalidArgumentError, TypeMismatchError
 from ..functions import timeconv
 from ..types import DataType, DeviceSchema
 
-_ABSENT = "\u0001"
-
 
 def parse_cell(name: str, type: DataType, text: str):
     """A cell from a command line: empty and ``null`` are null; bools are true/false, yes/no, 1/0."""
@@ -79,15 +77,15 @@ def read_csv(spark: SparkSession, path: str, time_column: str | None = None, uni
     time_name = time_column or header[0]
     if time_name not in header:
         raise InvalidArgumentError(f"the CSV has no column {time_name!r}")
-    shape = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(header) + 1)])
-    cells = reader.option("header", True).option("enforceSchema", True).option("nullValue", _ABSENT).option("emptyValue", "").schema(shape).csv(path)
-    cells = cells.withColumn("ord", F.monotonically_increasing_id())
     own = [f"c{k}" for k in range(len(header))]
+    shape = T.StructType([T.StructField(c, T.StringType()) for c in [*own, "_bad"]])
+    cells = reader.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad").schema(shape).csv(path)
+    cells = cells.withColumn("ord", F.monotonically_increasing_id())
     t = f"c{header.index(time_name)}"
     rest = [c for c in own if c != t]
-    ragged = F.col(f"c{len(header)}").isNotNull() | F.col(own[-1]).isNull()
+    ragged = F.col("_bad").isNotNull()
     whole = F.col(t).rlike(r"^-*\d+$")
-    facts = [F.count(F.lit(1)).alias("n"), F.count_if(ragged).alias("ragged"), F.count_if(F.col(t) == "").alias("empty"), F.count_if(whole).alias("whole"), timeconv.guess_unit(F.expr(f"try_cast({t} as bigint)")).alias("unit")]
+    facts = [F.count(F.lit(1)).alias("n"), F.count_if(ragged).alias("ragged"), F.count_if(~ragged & F.col(t).isNull()).alias("empty"), F.count_if(whole).alias("whole"), timeconv.guess_unit(F.expr(f"try_cast({t} as bigint)")).alias("unit")]
     row = cells.agg(*facts, *(x for c in rest for x in kind_counts(F.col(c), c))).first()
     if row["ragged"]:
         raise InvalidArgumentError(f"{row['ragged']} lines do not have the header's {len(header)} fields")
@@ -98,7 +96,7 @@ def read_csv(spark: SparkSession, path: str, time_column: str | None = None, uni
     names = dict(zip(own, header))
     columns = [(F.col(t).cast("long") if numeric else F.col(t)).alias(time_name)]
     for c in rest:
-        text = F.when(F.col(c) != "", F.col(c))
+        text = F.col(c)
         value = F.trim(text).cast(types[c].spark) if types[c] is not DataType.STRING else text
         columns.append(value.alias(names[c]))
     return cells.select(*columns, "ord"), time_name, (unit or row["unit"]) if numeric else None, row["n"]
@@ -122,7 +120,7 @@ def import_csv(source: str, target: str, device: str | None = None, time_column:
     if own is None:
         # texts: the zone and the unit come from the times themselves
         data = _text_times(frame, time_name)
-        write(target, data, name, time_column=time_name, mode="a" if append else "w", message=message, author=author, order_by="ord" if isinstance(data, DataFrame) else None, spark=spark, **options)
+        write(target, data, name, time_column=time_name, mode="a" if append else "w", message=message, author=author, order_by="ord", spark=spark, **options)
     else:
         write(target, frame, name, time_column=time_name, unit=own, mode="a" if append else "w", message=message, author=author, order_by="ord", spark=spark, **options)
     return n

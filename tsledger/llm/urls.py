@@ -18,7 +18,6 @@ further columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import require, written
@@ -36,6 +35,8 @@ MOST_CHILDREN = 50
 LEAST_LABELLED, BOUND = 5, 2.0
 PURITY, SMOOTHING = 0.8, 1.0
 DEPTH = 16
+#: Tasks that the rows of a hot node are dealt over.
+SALTS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,24 +72,34 @@ def _pattern(segment):
     return F.regexp_replace(hexed, r"[0-9]+", "{n}")
 
 
+def _salted(left: DataFrame, right: DataFrame, keys, by, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has a row per ``keys``: rows of a hot key are dealt over SALTS tasks by
+    ``by``, and each of them gets a copy of the key's one row."""
+    own = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys]).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int") == F.col("__salt")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return left.join(own, on, how).drop("__salt", *[f"__{k}" for k in keys])
+
+
 def _level(paths: DataFrame, level: int) -> DataFrame:
     """One level down: ``template`` longer by the label of the level's segment."""
     inside = F.col("depth") > level
     rows = paths.withColumn("seg", F.when(inside, _pattern(F.element_at("segments", level + 1)) if level < DEPTH else F.lit("**")))
     node = ["host", "template"]
     kids = rows.filter(inside).groupBy(*node, "seg").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    per = W.partitionBy(*node)
-    kids = kids.withColumn("n", F.col("b") + F.col("a")).withColumn("kids", F.count(F.lit(1)).over(per)).withColumn("all_b", F.sum("b").over(per)).withColumn("all_n", F.sum("n").over(per))
+    kids = kids.withColumn("n", F.col("b") + F.col("a"))
+    nodes = kids.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+    kids = _salted(kids, nodes, node, "seg")
     rest_n, rest_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
     share = F.col("all_b") / F.greatest(F.col("all_n"), F.lit(1))
     gap = F.abs(F.col("b") / F.greatest(F.col("n"), F.lit(1)) - rest_b / F.greatest(rest_n, F.lit(1)))
     spread = F.sqrt(share * (1 - share) * (1 / F.greatest(F.col("n"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
     similar = (F.col("n") >= LEAST_LABELLED) & (rest_n >= LEAST_LABELLED) & (gap <= BOUND * spread)
     label = F.when((F.col("kids") > MOST_CHILDREN) | similar, F.lit("*")).otherwise(F.col("seg"))
-    names = kids.select(F.col("host").alias("__h"), F.col("template").alias("__t"), F.col("seg").alias("__s"), label.alias("label"))
-    on = (F.col("host") == F.col("__h")) & (F.col("template") == F.col("__t")) & (F.col("seg") == F.col("__s"))
+    names = kids.select(*node, "seg", label.alias("label"))
     longer = F.when(inside, F.concat("template", F.lit("/"), "label")).otherwise(F.col("template"))
-    return rows.join(names, on, "left").select("host", "path", "segments", "depth", "blocked", "allowed", longer.alias("template"))
+    return _salted(rows, names, [*node, "seg"], "path", "left").select("host", "path", "segments", "depth", "blocked", "allowed", longer.alias("template"))
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -100,10 +111,10 @@ def templates(labelled: DataFrame) -> DataFrame:
     paths = written(paths.withColumn("depth", F.least(F.size("segments"), F.lit(DEPTH + 1))).withColumn("template", F.lit("")), "paths")
     for level in range(paths.agg(F.max("depth")).first()[0] or 0):
         paths = written(_level(paths, level), "paths")
-    counts = paths.groupBy(F.col("host").alias("__h"), F.col("template").alias("__t")).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
+    counts = paths.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     purity = (F.col("b") + SMOOTHING) / (F.col("b") + F.col("a") + 2 * SMOOTHING)
-    judged = counts.select("__h", "__t", purity.alias("purity"))
-    return paths.join(judged, (F.col("host") == F.col("__h")) & (F.col("template") == F.col("__t"))).select("host", "path", "template", "purity")
+    judged = counts.select("host", "template", purity.alias("purity"))
+    return _salted(paths, judged, ["host", "template"], "path").select("host", "path", "template", "purity")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, purity: float = PURITY) -> DataFrame:

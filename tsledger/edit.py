@@ -462,9 +462,8 @@ class Writer:
         url = self.files.url(folder)
         if not any(n.endswith(".parquet") for n, _ in self.files.walk(folder)):
             return []
-        tail = F.regexp_extract("_metadata.file_path", "([^/]+)$", 1)
-        facts = self.spark.read.parquet(url).groupBy(tail.alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("low"), F.max("t").alias("high"))
-        hashes = self.spark.read.format("binaryFile").load(f"{url}/*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha"), "length")
+        facts = self.spark.read.parquet(url).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("low"), F.max("t").alias("high"))
+        hashes = self.spark.read.format("binaryFile").load(f"{url}/*.parquet").select(F.col("_metadata.file_name").alias("name"), F.sha2("content", 256).alias("sha"), "length")
         return [DataFile(device, f"{folder}/{r['name']}", r["rows"], r["low"], r["high"], r["length"], r["sha"]) for r in sorted(facts.join(hashes, "name").collect(), key=lambda r: (r["low"], r["name"]))]
 
 

@@ -108,10 +108,9 @@ def verify(path: str, spark: SparkSession | None = None) -> VerifyReport:
         own = [f for m in catalog.manifests for f in m.files if f.device == schema.name and f.path not in bad]
         if own:
             plan = DevicePlan(catalog, schema)
-            name = F.regexp_extract("_metadata.file_path", "/(points/.*)$", 1)
             rows = spark.read.schema(plan._scan([], schema.column_names).drop("device").schema).parquet(*[files.url(f.path) for f in own])
-            facts = rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.count_distinct("t").alias("times"), *(F.count(f"`{c}`") for c in schema.column_names))
-            got = {r["name"]: (r["n"], r["lo"], r["hi"], r["times"]) for r in facts.collect()}
+            facts = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.count_distinct("t").alias("times"), *(F.count(f"`{c}`") for c in schema.column_names))
+            got = {r["path"][r["path"].rindex("/points/") + 1 :]: (r["n"], r["lo"], r["hi"], r["times"]) for r in facts.collect()}
             out.problems += [f"{f.path} has other rows than its commit recorded" for f in own if got.get(f.path) != (f.rows, f.t_min, f.t_max, f.rows)]
     left = catalog.unreferenced()
     if left or catalog.unfinished:

@@ -35,10 +35,24 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process has written to shared folders.
+MADE: list[str] = []
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables written after the first ``since``: once a result that reads them is stored, they are of no use."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in MADE[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del MADE[since:]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and lost executors do not lose it."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsledger.llm import exact_dedup, mixing, packing, quality, simhash
+from tsledger.llm import common, exact_dedup, mixing, packing, quality, simhash
 
 ORACLE_SQL = None
 
@@ -45,9 +45,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    from tsledger.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path, before = common.table_path(spark, name), len(common.MADE)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        common.sweep(spark, before)  # the stage's own tables
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

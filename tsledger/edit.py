@@ -212,9 +212,12 @@ class Writer:
         """A table of any supported kind; a Spark DataFrame stays distributed.
 
         Of equal times in a Spark DataFrame the last by ``order_by`` wins, a column that the device need not have;
-        without it times must be unique.
+        without it times must be unique.  Of an Arrow reader one batch is held at a time.
         """
-        source = adapters.normalize(data, time_column)
+        for source in adapters.iter_source(data, time_column):
+            self._write_source(device, source, unit, order_by, create)
+
+    def _write_source(self, device: str, source: adapters.Source, unit, order_by: str | None, create: bool) -> None:
         if order_by is not None and not (self.has_device(device) and self.device(device).column_index(order_by) is not None):
             source = replace(source, columns=[c for c in source.columns if c.name != order_by])
         if create and not self.has_device(device):

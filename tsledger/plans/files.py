@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``), or a local one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + os.path.join(tempfile.gettempdir(), f"tsledger-{os.getuid()}")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Files:
     """A folder and what lies in it."""
 
@@ -47,6 +61,14 @@ class Files:
         finally:
             stream.close()
 
+    def read_all(self, folder: str, names: list[str], few: int = 32) -> list[str]:
+        """Texts of many small files; beyond a few they are read by tasks instead of one after another."""
+        if len(names) <= few:
+            return [self.read(f"{folder}/{n}") for n in names]
+        rows = self.spark.read.option("wholetext", True).text([self.url(f"{folder}/{n}") for n in names]).select("value", "_metadata.file_name").collect()
+        found = {r["file_name"]: r["value"] for r in rows}
+        return [found[n] for n in names]
+
     def create(self, name: str, text: str) -> bool:
         """Write a new file; False if there is one already."""
         try:

@@ -144,7 +144,8 @@ class Catalog:
         if head.get("layout", 0) > LAYOUT:
             raise UnsupportedVersionError(f"{files.root}: layout {head['layout']}")
         names = files.names(LOG)
-        manifests = [Manifest.from_text(files.read(f"{LOG}/{n}"), f"{LOG}/{n}") for n in names if n.endswith(".json")]
+        own = [n for n in names if n.endswith(".json")]
+        manifests = [Manifest.from_text(text, f"{LOG}/{n}") for n, text in zip(own, files.read_all(LOG, own))]
         for k, m in enumerate(manifests, 1):
             if m.number != k:
                 raise CorruptedError(f"commit {k} is missing", name_of(k))

@@ -308,6 +308,67 @@ def device_multi(spark, sf_dir):
     return snapshot.keys(log).groupBy("device").agg(F.count(F.lit(1)).alias("points"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
+# ---- storage: the log of one device as commits of a store
+
+
+def click_store(spark, sf_dir: str):
+    """A store with the clicks of :func:`events_log` in four commits; the deletions follow the rows of the third."""
+    from . import store
+    from .edit import Writer, device_schema
+    from .plans.files import scratch
+
+    log = events_log(spark, sf_dir).filter("device = 'click'").select("t", "value", "user_id", "seq", "cno")
+    gone = events_deletions(spark, sf_dir).filter("device = 'click'")
+    path = scratch(spark, "clicks")
+    with Writer.create(path, spark=spark) as w:
+        w.create_device(device_schema("click", "s", {"value": "double", "user_id": "long"}, time_name="t"))
+        for n in range(1, 5):
+            w.write_table("click", log.filter(F.col("cno") == n).drop("cno"), time_column="t", unit="s", order_by="seq")
+            if n == 3:
+                for r in gone.select("lo", "hi").toLocalIterator():
+                    w.delete_range("click", r.lo, r.hi)
+            w.commit(f"part {n}", time_ns=n)
+    return store.open(path, spark)
+
+
+@query("store_roundtrip", f"WITH {LOG}, {_snap(3)} SELECT t, value, user_id FROM snap WHERE device = 'click'")
+def store_roundtrip(spark, sf_dir):
+    return click_store(spark, sf_dir).dataframe("click", as_of=3)
+
+
+@query("store_diff", f"WITH {_DIFF} SELECT t, kind, before_value, after_value, before_user_id, after_user_id FROM diff WHERE device = 'click'")
+def store_diff(spark, sf_dir):
+    return click_store(spark, sf_dir).reader().diff_frame("click", 2, 4)
+
+
+@query("compact_snapshot", f"WITH {LOG}, {_snap(None)} SELECT t, value, user_id FROM snap WHERE device = 'click'")
+def compact_snapshot(spark, sf_dir):
+    f = click_store(spark, sf_dir)
+    return f.compact(f"{f.path}-compact").dataframe("click")
+
+
+@query(
+    "store_commits",
+    f"""WITH {LOG} SELECT cast(l.cno AS bigint) AS number, count(DISTINCT l.t) AS rows_written,
+  CASE WHEN l.cno = 3 THEN (SELECT count(*) FROM tomb WHERE device = 'click') ELSE 0 END AS ranges_deleted FROM log l WHERE device = 'click' GROUP BY l.cno""",
+)
+def store_commits(spark, sf_dir):
+    rows = [(c.number, c.changes.rows_written, c.changes.ranges_deleted) for c in click_store(spark, sf_dir).commits()]
+    return spark.createDataFrame(rows, "number long, rows_written long, ranges_deleted long")
+
+
+@query(
+    "infer_csv_types",
+    """SELECT 'o_orderkey' AS column_name, 'int64' AS type UNION ALL SELECT 'o_totalprice', 'float64' UNION ALL SELECT 'o_orderstatus', 'string'
+  UNION ALL SELECT 'o_even', 'bool'""",
+)
+def infer_csv_types(spark, sf_dir):
+    from .sources.text import infer_types
+
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), "o_orderstatus", (F.col("o_orderkey") % 2 == 0).cast("string").alias("o_even"))
+    return spark.createDataFrame([(n, t.label) for n, t in infer_types(o, o.columns).items()], "column_name string, type string")
+
+
 # ---- encodings
 
 

@@ -242,6 +242,13 @@ class Reader:
         self.device(device)
         return [BlockInfo(m.number, f.path, f.rows, f.t_min, f.t_max, f.size) for m in self.catalog.manifests for f in m.files if f.device == device]
 
+    def segments(self, device: str) -> DataFrame:
+        """A row per file and column: sizes, nulls, encodings, codec and bounds, from the files' footers."""
+        from .sources.footers import segments
+
+        self.device(device)
+        return segments(self.catalog, device)
+
     def query(self, device: str) -> Query:
         return Query(self, self.device(device))
 

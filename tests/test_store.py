@@ -230,6 +230,25 @@ def test_files_that_do_not_overlap_need_no_merge(spark, tmp_path):
     assert [x.t_min for x in pruned.files] == [20]
 
 
+def test_many_deletions(spark, tmp_path, monkeypatch):
+    """Beyond the bound deletions are dealt by buckets of time, with the same result."""
+    from tsledger.operators import snapshot
+
+    path = str(tmp_path / "s")
+    with ts.Writer.create(path, spark=spark) as w:
+        w.create_device(ts.device_schema("d", "s", {"v": "int64"}))
+        w.write("d", {"time": list(range(200)), "v": list(range(200))})
+        w.commit()
+        for t in range(0, 200, 7):
+            w.delete_range("d", t, t + 1)
+        w.write_row("d", 14, v=-1)
+    f = ts.open(path, spark)
+    want = f.read()
+    assert len(want) == 200 - len([t for t in range(200) if t % 7 < 2]) + 1
+    monkeypatch.setattr(snapshot, "BROADCAST_DELETIONS", 5)
+    assert f.query().plan()._buckets() and f.read() == want and f.count() == len(want)
+
+
 def test_streaming_collector(spark, tmp_path):
     from tsledger.streaming.collector import append_batch, collect_stream
 

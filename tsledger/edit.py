@@ -31,7 +31,7 @@ LOCK = "_lock"
 @dataclass(frozen=True)
 class WriteOptions:
     codec: str | None = "zstd"
-    rows_per_block: int = 4_000_000
+    rows_per_block: int = 1_000_000
     zstd_level: int = 3
 
     def __post_init__(self):
@@ -436,7 +436,7 @@ class Writer:
                 if item[2]:
                     frame = frame.withColumn("seq", F.col("ord"))
                     frame = snapshot.newest(frame, ["t"])
-                else:
+                elif not unique:
                     self._check_unique(device, frame)
                 frames.append(frame.select("t", F.lit(seq).cast("long").alias("seq"), *names))
                 continue
@@ -452,22 +452,52 @@ class Writer:
         if self.options.codec == "zstd":
             writer = writer.option("parquet.compression.codec.zstd.level", str(self.options.zstd_level))
         writer.parquet(self.files.url(folder))
-        return self._described(device, folder)
+        files, again = self._described(device, folder)
+        if again is not None:
+            raise self._twice(device, again)
+        return files
 
     @staticmethod
     def _check_unique(device: str, frame: DataFrame) -> None:
         again = frame.groupBy("t").count().filter("count > 1").limit(1).collect()
         if again:
-            raise InvalidArgumentError(f"device {device!r}: time {again[0].t} occurs more than once; pass order_by to say which row wins")
+            raise Writer._twice(device, again[0].t)
 
-    def _described(self, device: str, folder: str) -> list[DataFile]:
-        """Bounds and hashes of written files, found on the executors; a row per file comes back."""
-        url = self.files.url(folder)
+    @staticmethod
+    def _twice(device: str, time: int) -> InvalidArgumentError:
+        return InvalidArgumentError(f"device {device!r}: time {time} occurs more than once; pass order_by to say which row wins")
+
+    def _described(self, device: str, folder: str) -> tuple[list[DataFile], int | None]:
+        """Bounds and hashes of written files, and a time that occurs twice if there is one.
+
+        One job: a task takes a whole file, which is sorted, so equal times stand side by side; a row per file comes back.
+        """
         if not any(n.endswith(".parquet") for n, _ in self.files.walk(folder)):
-            return []
-        facts = self.spark.read.parquet(url).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("low"), F.max("t").alias("high"))
-        hashes = self.spark.read.format("binaryFile").load(f"{url}/*.parquet").select(F.col("_metadata.file_name").alias("name"), F.sha2("content", 256).alias("sha"), "length")
-        return [DataFile(device, f"{folder}/{r['name']}", r["rows"], r["low"], r["high"], r["length"], r["sha"]) for r in sorted(facts.join(hashes, "name").collect(), key=lambda r: (r["low"], r["name"]))]
+            return [], None
+        found = self.spark.read.format("binaryFile").load(f"{self.files.url(folder)}/*.parquet").select(F.col("_metadata.file_name").alias("name"), "content")
+        rows = sorted(found.mapInArrow(_describe, "name string, rows long, low long, high long, size long, sha string, again long").collect(), key=lambda r: (r["low"], r["name"]))
+        again = next((r["again"] for r in rows if r["again"] is not None), None)
+        for x, y in zip(rows, rows[1:]):
+            if x["high"] == y["low"]:
+                again = x["high"]
+        return [DataFile(device, f"{folder}/{r['name']}", r["rows"], r["low"], r["high"], r["size"], r["sha"]) for r in rows if r["rows"]], again
+
+
+def _describe(batches):
+    """Name, rows, bounds, size, hash and a repeated time of each Parquet file."""
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        out = []
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = content.as_buffer()
+            t = pq.read_table(pa.BufferReader(data), columns=["t"]).column(0).to_numpy()
+            same = np.flatnonzero(t[1:] == t[:-1])
+            out.append((name, len(t), int(t[0]) if len(t) else None, int(t[-1]) if len(t) else None, data.size, hashlib.sha256(data).hexdigest(), int(t[same[0]]) if len(same) else None))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["name", "rows", "low", "high", "size", "sha", "again"])
 
 
 class Transaction:

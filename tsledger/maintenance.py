@@ -182,7 +182,7 @@ def compact(source: str, target: str, as_of: int | None = None, overwrite: bool
             for d in (d for m in commits for d in m.devices):
                 schema = w.create_device(DeviceSchema.from_json(d))
                 rows = DevicePlan(reader.catalog, schema, as_of).rows(schema.column_names)
-                w._stage(schema.name).items.append(("frame", rows.withColumn("ord", F.lit(0).cast("long")), True))
+                w._stage(schema.name).items.append(("frame", rows.withColumn("ord", F.lit(0).cast("long")), False))
             for a in reader.annotations(as_of=as_of if as_of is not None else None):
                 w.restore_annotation(a.id, a.device, a.start, a.end, a.label, a.note)
                 out.annotations += 1

@@ -93,13 +93,13 @@ def snapshot(log: DataFrame, deletions: DataFrame | None = None, version: int |
     return newest(kept).select("device", "t", *values)
 
 
-def keys(log: DataFrame, deletions: DataFrame | None = None, version: int | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+def keys(log: DataFrame, deletions: DataFrame | None = None, version: int | None = None, start: int | None = None, end: int | None = None, buckets_of: int | None = None) -> DataFrame:
     """The (device, t) that have a point; no winner is sought and no value is read."""
     rows = as_of(log, version).filter(in_range(F.col("t"), start, end)).select("device", "t", "seq")
     if deletions is not None:
         # any row newer than all deletions keeps the point, so the newest is enough; combined before the shuffle
         rows = rows.groupBy("device", "t").agg(F.max("seq").alias("seq"))
-        rows = visible(rows, as_of(deletions, version))
+        rows = visible(rows, as_of(deletions, version), buckets_of)
     return rows.select("device", "t").distinct()
 
 

@@ -75,23 +75,30 @@ class DevicePlan:
         rows = [tuple(d) for d in self.deletions if d[2] >= low and d[1] <= high]
         return self.spark.createDataFrame(rows, DELETIONS) if rows else None
 
+    def _buckets(self) -> int | None:
+        """A span of time to deal very many deletions by; few are left to Spark's broadcast threshold."""
+        if len(self.deletions) <= snapshot.BROADCAST_DELETIONS:
+            return None
+        span = max(f.t_max for f in self.files) - min(f.t_min for f in self.files) if self.files else 0
+        return max(1, span // len(self.deletions))
+
     def rows(self, columns: Sequence[str]) -> DataFrame:
         """``t`` and the columns, of every point, in no order."""
         alone, shared = split_files(self.files)
         parts = []
         for files, merge in ((alone, False), (shared, True)):
             if files or (merge and not alone):
-                kept = snapshot.visible(self._scan(files, columns), self._gone(files))
+                kept = snapshot.visible(self._scan(files, columns), self._gone(files), self._buckets())
                 parts.append((snapshot.newest(kept) if merge and files else kept).select("t", *columns))
         return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
     def times(self) -> DataFrame:
         """``t`` of every point; no value is read."""
         alone, shared = split_files(self.files)
-        one = snapshot.visible(self._scan(alone, []), self._gone(alone)).select("t")
+        one = snapshot.visible(self._scan(alone, []), self._gone(alone), self._buckets()).select("t")
         gone = self._gone(shared)
         many = self._scan(shared, []).withColumn("cno", F.lit(0))
-        return one.unionAll(snapshot.keys(many, gone).select("t")) if shared else one
+        return one.unionAll(snapshot.keys(many, gone, buckets_of=self._buckets()).select("t")) if shared else one
 
     def log(self, columns: Sequence[str]) -> DataFrame:
         """Every row written, with ``seq`` and ``cno``, for differences of versions."""

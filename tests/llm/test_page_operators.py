@@ -157,3 +157,65 @@ def test_templates(spark):
     assert got[130].template == "/news/{n}/" and got[130].verdict == "allow"
     assert got[200].template == "/*/page" and got[200].verdict == "allow" and got[200].purity == pytest.approx(0.5)
     assert got[300].template == "/tag/*" and len(got) == len(pages)
+
+
+def slow_templates(paths):
+    """Of {(host, path): [blocked, allowed]}: template and purity by the module's rules, level by level."""
+    import re
+
+    def pattern(s):
+        s = re.sub(r"[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}|(?<![0-9a-zA-Z])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{12,}(?![0-9a-zA-Z])", "{h}", s)
+        return re.sub("[0-9]+", "{n}", s)
+
+    segments = {k: ([] if k[1] == "" else re.sub("^/", "", k[1]).split("/")) for k in paths}
+    template = dict.fromkeys(paths, "")
+    for level in range(max((min(len(s), urls.DEPTH + 1) for s in segments.values()), default=0)):
+        inside = [k for k in paths if len(segments[k]) > level]
+        seg = {k: pattern(segments[k][level]) if level < urls.DEPTH else "**" for k in inside}
+        kids = defaultdict(lambda: [0, 0])
+        for k in inside:
+            own = kids[(k[0], template[k], seg[k])]
+            own[0] += paths[k][0]
+            own[1] += paths[k][1]
+        nodes = defaultdict(list)
+        for (h, t, s), (b, a) in kids.items():
+            nodes[(h, t)].append((s, b, a + b))
+        label = {}
+        for (h, t), own in nodes.items():
+            all_b, all_n = sum(b for _, b, _ in own), sum(n for _, _, n in own)
+            for s, b, n in own:
+                rest_n, rest_b, share = all_n - n, all_b - b, all_b / max(all_n, 1)
+                gap = abs(b / max(n, 1) - rest_b / max(rest_n, 1))
+                spread = (share * (1 - share) * (1 / max(n, 1) + 1 / max(rest_n, 1))) ** 0.5
+                similar = n >= urls.LEAST_LABELLED and rest_n >= urls.LEAST_LABELLED and gap <= urls.BOUND * spread
+                label[(h, t, s)] = "*" if len(own) > urls.MOST_CHILDREN or similar else s
+        template |= {k: f"{template[k]}/{label[(k[0], template[k], seg[k])]}" for k in inside}
+    counts = defaultdict(lambda: [0, 0])
+    for k, (b, a) in paths.items():
+        counts[(k[0], template[k])][0] += b
+        counts[(k[0], template[k])][1] += a
+    return {k: (template[k], (counts[(k[0], template[k])][0] + 1) / (sum(counts[(k[0], template[k])]) + 2)) for k in paths}
+
+
+def test_trees_against_brute_force(spark):
+    rnd = random.Random(8)
+    pages = []
+    for k in range(900):
+        host = rnd.choice(["a.com", "a.com", "b.net", "c.org", "x.io"])
+        parts = [rnd.choice(["en", "de", "es", "fr", f"t{rnd.choice('abcdefgh')}"]), rnd.choice([str(rnd.randrange(900)), f"{rnd.randrange(99)}.html", "deadbeef00112233", "".join(rnd.choice("abcdef") for _ in range(2))]), *["deep"] * rnd.choice([0, 0, 0, 1, 20])]
+        pages.append((k, f"http://{host}/" + "/".join(parts) + rnd.choice(["", "/", "?q=1"])))
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()
+    paths = defaultdict(lambda: [0, 0])
+    for r in got:
+        rule = slow_rule(r.host, r.path)
+        own = paths[(r.host, r.path)]
+        own[0] += bool(rule) and rule[2] == "block"
+        own[1] += bool(rule) and rule[2] == "allow"
+    want = slow_templates(dict(paths))
+    assert len(got) == len(pages)
+    for r in got:
+        rule = slow_rule(r.host, r.path)
+        template, purity = want[(r.host, r.path)]
+        assert r.template == template and r.purity == pytest.approx(purity)
+        assert r.verdict == (rule[2] if rule else "block" if purity >= urls.PURITY else "allow")
+    assert any("*" in r.template for r in got) and any("**" in r.template for r in got)

@@ -388,3 +388,18 @@ def test_license_scan(spark, docs, none):
     assert got[3]["licenses"] == "Apache-2.0" and got[4]["n_matches"] == 0 and got[5]["n_matches"] == 50 and got[6]["n_matches"] == 0
     assert texts[7][got[7]["span_start"] : got[7]["span_end"]].startswith("This is free") and got[7]["licenses"] == "Unlicense"
     assert len(rows_of(licenses.scan_licenses(docs))) == len(corpus()) and rows_of(licenses.scan_licenses(none)) == []
+
+
+def test_edited_licenses_are_found():
+    """Templates with a tenth of their words changed, inside other text."""
+    rnd, scanner = random.Random(6), licenses.Scanner()
+    for name, template in licenses.TEMPLATES:
+        own = template.split()
+        for _ in range(5):
+            ws = list(own)
+            for k in rnd.sample(range(len(ws)), len(ws) // 10):
+                ws[k] = rnd.choice(["", "changed", ws[k] + " more"])
+            text = " ".join(rnd.choice(WORDS) for _ in range(50)) + ". " + " ".join(ws) + " " + " ".join(rnd.choice(WORDS) for _ in range(50))
+            found = scanner.scan(text.encode())
+            assert name in {m.license for m in found} and len(found) == 1
+    assert all(not scanner.scan((r[1] or "").encode()) for r in corpus())

@@ -71,10 +71,17 @@ def test_format():
     assert to_datetime(0, "s") == dt.datetime(1970, 1, 1) and to_datetime(0, "s", "+02:00").utcoffset() == dt.timedelta(hours=2)
 
 
-def test_columns_agree_with_values(spark):
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(request, spark):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_columns_agree_with_values(spark, zone):
     from pyspark.sql import functions as F
 
-    stamps = [0, 1, -1, 1791442800500, -1791442800501, 1792888200000, 1774746000000]
+    stamps = [0, 1, -1, 1710037800000, 1710041400000, 1791442800500, -1791442800501, 1792888200000, 1774746000000]
     frame = spark.createDataFrame([(x,) for x in stamps], "t long")
     for unit in ("s", "ms", "us", "ns"):
         for tz in (None, "Europe/Berlin", "-03:30", "UTC"):

@@ -116,6 +116,12 @@ def blocks(rows: DataFrame, keys: Sequence[str], order: str, size: int) -> DataF
     return rows.withColumn("block", F.floor(place / F.lit(size)).cast("long"))
 
 
+def time_blocks(rows: DataFrame, order: str, span: int) -> DataFrame:
+    """``rows`` with ``block``: equal spans of the order column; needs no shuffle, so any number of rows will do."""
+    at = F.col(order)
+    return rows.withColumn("block", F.call_function("div", at - F.pmod(at, F.lit(span)), F.lit(span)).cast("long"))
+
+
 def deltas(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """``rows`` with ``pos`` (from 0), ``delta`` and ``dod``, the delta of deltas; all modulo 2 to the 64."""
     w = W.partitionBy(*keys).orderBy(order)

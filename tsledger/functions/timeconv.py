@@ -158,22 +158,36 @@ def spark_zone(tz: str | None) -> str:
     return tz
 
 
+def _zero() -> Column:
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+
+
+def wall_micros(wall: Column) -> Column:
+    """Microseconds of a time without a zone, taken as UTC.
+
+    The difference of two such times is a whole interval; other ways to a number pass through the session's zone.
+    """
+    gap = wall.cast("timestamp_ntz") - _zero()
+    part = lambda name: F.date_part(F.lit(name), gap).cast("long")
+    seconds = F.date_part(F.lit("SECOND"), gap)
+    return (part("DAY") * 24 + part("HOUR")) * F.lit(3600 * 10**6) + part("MINUTE") * F.lit(60 * 10**6) + (seconds * 10**6).cast("long")
+
+
 def format_column(t: Column, unit, tz: str | None = None) -> Column:
     """Twin of :func:`format_time`."""
     unit = TimeUnit.parse(unit)
     per = F.lit(unit.per_second).cast("long")
     rest = F.pmod(t, per)
-    moment = F.timestamp_seconds(F.call_function("div", t - rest, per))
     name = spark_zone(tz)
-    # the session's zone only shapes the local fields, so they are made from UTC explicitly
-    local = F.convert_timezone(F.current_timezone(), F.lit(name), moment.cast("timestamp_ntz"))
-    text = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")
+    # times without a zone throughout, so the session's zone has no say
+    utc = F.timestamp_add("SECOND", F.call_function("div", t - rest, per), _zero())
+    local = utc if name == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(name), utc)
+    text = F.replace(local.cast("string"), F.lit(" "), F.lit("T"))
     if unit:
         text = F.concat(text, F.lit("."), F.lpad(rest.cast("string"), 3 * int(unit), "0"))
     if name == "UTC":
         return F.concat(text, F.lit("Z"))
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
-    minutes = F.timestamp_diff("MINUTE", utc, local).cast("int")
+    minutes = floor_div(wall_micros(local) - wall_micros(utc), 60 * 10**6).cast("int")
     size = F.abs(minutes)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     offset = F.concat(F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")), two(F.floor(size / 60)), F.lit(":"), two(F.pmod(size, F.lit(60))))
@@ -187,7 +201,7 @@ def parse_column(text: Column, tz: str | None = None) -> Column:
     part = lambda k: F.regexp_extract(own, grammar, k)
     or_ = lambda k, other: F.when(part(k) == "", F.lit(other)).otherwise(part(k))
     wall = F.to_timestamp_ntz(F.concat(part(1), F.lit(" "), or_(2, "00:00"), F.lit(":"), or_(3, "00")), F.lit("yyyy-MM-dd HH:mm:ss"))
-    seconds = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), wall)
+    seconds = floor_div(wall_micros(wall), 10**6)
     off = part(5)
     hours, minutes = F.substring(off, 2, 2).cast("int"), F.substring(F.regexp_replace(off, ":", ""), 4, 2).cast("int")
     fixed = F.when(off.rlike("^[+-]"), (hours * 3600 + minutes * 60) * F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0))
@@ -198,7 +212,7 @@ def parse_column(text: Column, tz: str | None = None) -> Column:
         moved = F.convert_timezone(F.lit(name), F.lit("UTC"), wall)
         back = F.convert_timezone(F.lit("UTC"), F.lit(name), moved)
         skipped = F.raise_error(F.concat(text, F.lit(f" is skipped by the clocks of {tz}"))).cast("long")
-        local = F.when(back == wall, F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), moved)).otherwise(skipped)
+        local = F.when(back == wall, floor_div(wall_micros(moved), 10**6)).otherwise(skipped)
         utc = F.when(off == "", local).otherwise(seconds - fixed)
     nanos = utc * F.lit(SECOND) + F.rpad(or_(4, "0"), 9, "0").cast("long")
     return F.when(text.isNull(), F.lit(None).cast("long")).when(own.rlike(grammar), nanos).otherwise(F.raise_error(F.concat(text, F.lit(" is not a time"))).cast("long"))

@@ -23,7 +23,7 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def _micros(column: str):
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    return timeconv.wall_micros(F.col(column))
 
 
 def events_log(spark, sf_dir: str) -> DataFrame:

@@ -429,10 +429,9 @@ def _spark_times(source: Source, schema: DeviceSchema, unit) -> SparkColumn:
     else:
         wall = c.cast("timestamp_ntz")
         if source.naive and tz is not None:
-            raw = timeconv.convert_units(timeconv.parse_column(F.date_format(wall, "yyyy-MM-dd HH:mm:ss.SSSSSS"), tz), "ns", schema.time_unit)
+            raw = timeconv.convert_units(timeconv.parse_column(wall.cast("string"), tz), "ns", schema.time_unit)
         else:
-            zero = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-            micros = F.timestamp_diff("MICROSECOND", zero, wall) if source.naive else F.unix_micros(c)
+            micros = timeconv.wall_micros(wall) if source.naive else F.unix_micros(c)
             raw = timeconv.convert_units(micros, "us", schema.time_unit)
     return F.when(c.isNull(), F.raise_error(F.lit("the time column has nulls")).cast("long")).otherwise(raw)
 

@@ -29,6 +29,13 @@ def test_round_trip_and_batches():
     assert media.ZIGZAG.tolist()[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(media.ZIGZAG) == list(range(64))
 
 
+def test_long_payloads_in_parts(monkeypatch):
+    own = payloads()
+    files = media.encode(own)
+    monkeypatch.setattr(media, "CHUNK", 7)
+    assert media.encode(own) == files and [x[0] for x in media.decode(files)] == own
+
+
 def test_scans_are_progressive():
     f = media.File(media.encode(payloads()[:1])[0])
     kinds = [s[0] for s in f.scans]

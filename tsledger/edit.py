@@ -214,6 +214,8 @@ class Writer:
         Of equal times in a Spark DataFrame the last by ``order_by`` wins, a column that the device need not have;
         without it times must be unique.  Of an Arrow reader one batch is held at a time.
         """
+        if time_column is None and self.has_device(device) and self.device(device).time_name in adapters.column_names(data):
+            time_column = self.device(device).time_name
         for source in adapters.iter_source(data, time_column):
             self._write_source(device, source, unit, order_by, create)
 

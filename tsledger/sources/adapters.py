@@ -291,6 +291,17 @@ def _from_spark(frame: DataFrame, time_column: str | None) -> Source:
     return out
 
 
+def column_names(data) -> list[str]:
+    """Names of a table's columns where they can be told without reading it."""
+    if isinstance(data, Mapping):
+        return [str(n) for n in data]
+    if isinstance(data, pa.RecordBatchReader):
+        return data.schema.names
+    names = getattr(data, "column_names", None)
+    names = getattr(data, "columns", ()) if names is None else names
+    return [str(n) for n in names] if not isinstance(data, Batch) else []
+
+
 def normalize(data, time_column: str | None = None) -> Source:
     """Any supported table: Batch, pandas, Polars, Arrow (tables, batches, readers, streams), mappings, Spark."""
     if isinstance(data, Source):

@@ -26,22 +26,28 @@ def _micros(column: str):
     return timeconv.wall_micros(F.col(column))
 
 
+def _hour(column: str):
+    """Hours since 1970, from a time without a zone."""
+    at = F.col(column).cast("timestamp_ntz")
+    return (F.unix_date(at.cast("date")).cast("long") * 24 + F.hour(at)).cast("long")
+
+
 def events_log(spark, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     cno = (F.lit(1) + F.pmod("event_id", F.lit(4))).cast("long")
-    return e.select(F.col("event_type").alias("device"), timeconv.floor_div(_micros("ts"), HOUR).alias("t"), (cno * SPAN + F.col("event_id")).alias("seq"), cno.alias("cno"), "value", "user_id")
+    return e.select(F.col("event_type").alias("device"), _hour("ts").alias("t"), (cno * SPAN + F.col("event_id")).alias("seq"), cno.alias("cno"), "value", "user_id")
 
 
 def events_deletions(spark, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").filter("event_id % 197 = 0")
-    t = timeconv.floor_div(_micros("ts"), HOUR)
+    t = _hour("ts")
     return e.select(F.col("event_type").alias("device"), t.alias("lo"), (t + 2).alias("hi"), F.lit(3 * SPAN + SPAN // 2).alias("seq"), F.lit(3).cast("long").alias("cno"))
 
 
 def events_notes(spark, sf_dir: str) -> DataFrame:
     """Operations on annotations: every 97th event puts one, every 388th of them is removed in commit 4."""
     e = _table(spark, sf_dir, "events").filter("event_id % 97 = 0")
-    t = timeconv.floor_div(_micros("ts"), HOUR)
+    t = _hour("ts")
     number = F.floor(F.col("event_id") / 97).cast("long") + 1
     put = e.select(number.alias("id"), F.lit("put").alias("op"), F.col("event_type").alias("device"), t.alias("lo"), (t + 12).alias("hi"), F.concat(F.lit("L"), F.pmod("event_id", F.lit(7)).cast("string")).alias("label"), F.lit(None).cast("string").alias("note"), (SPAN * 2 + F.col("event_id")).alias("seq"), F.lit(2).cast("long").alias("cno"))
     gone = put.filter("id % 4 = 0").select("id", F.lit("remove").alias("op"), "device", "lo", "hi", "label", "note", (F.col("seq") + 2 * SPAN).alias("seq"), F.lit(4).cast("long").alias("cno"))

@@ -111,7 +111,10 @@ def _minus(a: Column, b: Column) -> Column:
 
 
 def blocks(rows: DataFrame, keys: Sequence[str], order: str, size: int) -> DataFrame:
-    """``rows`` with ``block``: runs of ``size`` rows per key in order."""
+    """``rows`` with ``block``: runs of ``size`` rows per key in order.
+
+    The rows of a key are numbered in one task; for keys with very many rows take :func:`time_blocks`.
+    """
     place = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
     return rows.withColumn("block", F.floor(place / F.lit(size)).cast("long"))
 

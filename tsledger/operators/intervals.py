@@ -25,13 +25,14 @@ def coalesce(intervals: DataFrame, key: str = "device") -> DataFrame:
 
 
 def label_points(points: DataFrame, notes: DataFrame) -> DataFrame:
-    """``points`` with ``label``: of the notes (``id, device, lo, hi, label``) that cover a point, the one with the
-    largest id; null where none does.
+    """``points`` (a row per device and time) with ``label``: of the notes (``id, device, lo, hi, label``) that cover
+    a point, the one with the largest id; null where none does.
 
-    Notes are small against points, so Spark sends them to all tasks under its threshold; the largest id is found by an
-    aggregate that is combined before the shuffle, and only points that a note covers take part in it.
+    Notes are small against points, so Spark sends them to all tasks under its threshold; then a snapshot's own
+    partitioning by device and time serves the aggregate, and nothing is shuffled again.
     """
     n = notes.select(F.col("device").alias("__d"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.struct("id", "label").alias("__note"))
-    covered = points.select("device", "t").join(n, (F.col("device") == F.col("__d")) & F.col("t").between(F.col("__lo"), F.col("__hi")))
-    last = covered.groupBy(F.col("device").alias("__d"), F.col("t").alias("__t")).agg(F.max("__note").alias("__note"))
-    return points.join(last, (F.col("device") == F.col("__d")) & (F.col("t") == F.col("__t")), "left").withColumn("label", F.col("__note.label")).drop("__d", "__t", "__note")
+    covered = points.join(n, (F.col("device") == F.col("__d")) & F.col("t").between(F.col("__lo"), F.col("__hi")), "left")
+    rest = [c for c in points.columns if c not in ("device", "t")]
+    out = covered.groupBy("device", "t").agg(*[F.first(c).alias(c) for c in rest], F.max("__note").alias("__note"))
+    return out.select(*points.columns, F.col("__note.label").alias("label"))

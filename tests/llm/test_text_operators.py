@@ -313,6 +313,18 @@ def test_near_copies_go(docs, none):
     assert rows_of(simhash.simhash_dedup(none)) == [] == rows_of(simhash.keep_one(none))
 
 
+def test_unrelated_rows_with_null_or_repeated_ids_stay(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(WORDS) + str(rnd.randrange(50)) for _ in range(80)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(3, texts[0]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (None, texts[6]), (9, texts[7])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(frame).collect()]
+    assert Counter(kept) == Counter([(3, texts[0]), *((None, t) for t in texts[1:4]), (7, texts[4]), (7, texts[5]), (None, texts[6]), (9, texts[7])])
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows_of(simhash.simhash_dedup(frame)))
+    least = {texts[0]: 3, texts[4]: 7, texts[5]: 7, texts[7]: 9}
+    assert got == Counter((d, f"{slow_fingerprint(t):016x}", least.get(t)) for d, t in rows)
+
+
 # ---- quality
 
 

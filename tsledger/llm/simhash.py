@@ -9,7 +9,7 @@ differ from it in at most one bit, which finds exactly the pairs at distance two
 
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; fewer words than a
 shingle are one shingle; rows that repeat a ``doc_id`` each get a row; a null ``doc_id`` counts as larger than all
-others and gets a component like any other row; an empty table gives an empty result; further columns are ignored.
+others and gets a component like any other row, whose id is null where no member has one; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, written
+from .common import require, text_of, written
 from .components import components
 
 SHINGLE = 3
@@ -55,16 +55,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * set_ > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (signed long) of every document."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also=()) -> DataFrame:
+    """``doc_id, fp`` (signed long) of every document, and the columns of ``also``."""
     require(docs, ("doc_id", "text"))
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
+    schema = ", ".join(["doc_id long, fp long", *(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[2:])])
 
     def run(batches):
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, schema)
 
 
 def _block(k: int, blocks: int):
@@ -146,29 +148,49 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, heavy:
 
 
 def near_classes(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, heavy: int = HEAVY) -> DataFrame:
-    """``fp, component`` for every distinct fingerprint of ``prints`` (``doc_id, fp``, a written table)."""
-    fps = written(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("node")), "fps")
-    found = components(links(fps, distance, blocks, heavy).distinct())
-    return fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    """``fp, root, component`` for every distinct fingerprint of ``prints`` (``doc_id, fp``, a written table).
+
+    A fingerprint is its own node, so rows without an id stay apart.  ``root`` is the component's least fingerprint,
+    ``component`` its smallest id, null where no row of it has one.
+    """
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    found = components(links(fps.select("fp", F.col("fp").alias("node")), distance, blocks, heavy).distinct())
+    return _least_ids(fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "least"))
+
+
+def _least_ids(rooted: DataFrame) -> DataFrame:
+    """``fp, root, component`` of ``fp, root, least``."""
+    rooted = written(rooted, "rooted")
+    ids = rooted.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("component"))
+    return rooted.join(ids, F.col("root") == F.col("__root")).select("fp", "root", "component")
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     """A row per document: ``doc_id, fingerprint, component_id``."""
     prints = written(fingerprints(docs), "prints")
     classes = near_classes(prints, **options)
-    none = F.col("component") == F.lit(2**63 - 1)
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(~none, F.col("component")).alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _digest():
+    return F.unhex(F.sha2(text_of(), 256))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns."""
-    prints = written(fingerprints(docs), "prints")
+    """One document of each component, the one with the smallest id, with all columns.
+
+    The row that stays is found again by id and digest: ids may be null or repeat.  Rows that share both are made one
+    only where such rows exist.
+    """
+    prints = written(fingerprints(docs.withColumn("__digest", _digest()), also=("__digest",)), "prints")
     classes = near_classes(prints, **options)
-    stay = prints.join(classes, "fp").filter(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)) == F.col("component")).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    if prints.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.withColumn("__first", F.col("doc_id")).dropDuplicates(["__first"]).drop("__first")
-    return out
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__digest")).alias("win")
+    stay = prints.join(classes, "fp").groupBy("root").agg(first).select(F.col("win.doc_id").alias("__id"), F.col("win.__digest").alias("__won"))
+    own = docs.withColumn("__digest", _digest())
+    out = own.join(stay.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__won")), "left_semi")
+    if prints.groupBy("doc_id", "__digest").count().filter("count > 1").limit(1).count():
+        out = out.withColumn("__first", F.struct("doc_id", "__digest")).dropDuplicates(["__first"]).drop("__first")
+    return out.drop("__digest")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

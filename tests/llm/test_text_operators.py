@@ -325,6 +325,33 @@ def test_unrelated_rows_with_null_or_repeated_ids_stay(spark):
     assert got == Counter((d, f"{slow_fingerprint(t):016x}", least.get(t)) for d, t in rows)
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_stage_links_all_similar_texts(spark, hot):
+    """Edited texts of all lengths, a common passage and a large group, against all pairs."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(WORDS) + str(rnd.randrange(40))
+    passage, rows = [word() for _ in range(12)], []
+    for n in [4, 5, 9, 20, 60, 150, 300] * 4:
+        base = [word() for _ in range(n)] + passage * rnd.randrange(2)
+        rows.append(base)
+        for _ in range(rnd.choice([1, 3, 12])):
+            edited = list(base)
+            for _ in range(rnd.randrange(1, max(2, n // 30))):
+                edited[rnd.randrange(len(edited))] = word()
+            rows.append(edited + passage * rnd.randrange(2))
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    fps, root, far = [slow_fingerprint(t) for _, t in rows], list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for k in range(i):
+            alike = len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])
+            far += alike and (fps[i] ^ fps[k]).bit_count() > 2
+            if (alike or (fps[i] ^ fps[k]).bit_count() <= 2) and root[i] != root[k]:
+                root = [min(root[i], root[k]) if x in (root[i], root[k]) else x for x in root]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    assert far > 50 and sorted(r.doc_id for r in got) == sorted(set(root))
+
+
 # ---- quality
 
 

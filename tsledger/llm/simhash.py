@@ -7,6 +7,9 @@ and only a spanning set of links leaves the group, never all pairs.  A key with
 fingerprints is not compared in one task: each of its fingerprints meets the others through the 65 patterns that
 differ from it in at most one bit, which finds exactly the pairs at distance two or less, whatever the group's size.
 
+The pipeline's stage (:func:`keep_one`) links these pairs and all whose five-word shingles share 0.8, found by prefixes
+of the sets and verified on the whole sets.
+
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; fewer words than a
 shingle are one shingle; rows that repeat a ``doc_id`` each get a row; a null ``doc_id`` counts as larger than all
 others and gets a component like any other row, whose id is null where no member has one; an empty table gives an empty result; further columns are ignored.
@@ -31,23 +34,31 @@ DISTANCE = 2
 BLOCKS = 4
 #: Distinct fingerprints under one key that a task compares directly.
 HEAVY = 4096
+#: Similarity of five-word shingles that the pipeline's stage links at.
+SIMILARITY = 0.8
+#: Sets under one shingle from which on it moves to the end of the order.
+HOT = 8
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text, unsigned."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _grams(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in their order; fewer words than a shingle are one, no words none."""
+    of = xxhash.xxh64_intdigest
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([of(joined, 42)] if words else [], dtype="<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     begins = (ends - lengths)[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    of = xxhash.xxh64_intdigest
-    hashes = np.array([of(joined[a:b], 42) for a, b in zip(begins, ends)], dtype="<u8")
+    return np.array([of(joined[a:b], 42) for a, b in zip(begins, ends)], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
     set_ = np.zeros(64, np.int64)
     for k in range(0, len(hashes), _CHUNK):
         part = hashes[k : k + _CHUNK]
@@ -55,18 +66,34 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * set_ > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also=()) -> DataFrame:
-    """``doc_id, fp`` (signed long) of every document, and the columns of ``also``."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a text, unsigned."""
+    return _majority(_grams(_words(text), shingle))
+
+
+def five_shingles(words: list[bytes], threes: np.ndarray) -> np.ndarray:
+    """The sorted set of a text's five-word shingles, hashed; ``threes`` are the hashes of its three-word ones.
+
+    The three-word shingles at k and k + 2 hold the five words from k on, so their hashes are mixed.
+    """
+    if len(words) < 5:
+        return _grams(words, 5).view(np.int64)
+    with np.errstate(over="ignore"):
+        x = threes[:-2] * np.uint64(0x9E3779B97F4A7C15) + threes[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((x ^ (x >> np.uint64(29))).view(np.int64))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, fp`` (signed long) of every document."""
     require(docs, ("doc_id", "text"))
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
-    schema = ", ".join(["doc_id long, fp long", *(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[2:])])
 
     def run(batches):
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return slim.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _block(k: int, blocks: int):
@@ -176,19 +203,131 @@ def _digest():
     return F.unhex(F.sha2(text_of(), 256))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns.
+MARKS = "row long, doc_id long, digest binary, fp long, sid long, n int, shingles array<long>"
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """A row per document: locator, id, digest of the text, fingerprint, and its set of five-word shingles (``sid``: the set's hash, ``n``: its size)."""
+    require(docs, ("doc_id", "text"))
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                prints, sets = [], []
+                for t in part.column(3):
+                    words = _words(t.as_py())
+                    threes = _grams(words, SHINGLE)
+                    prints.append(_majority(threes))
+                    sets.append(five_shingles(words, threes))
+                sizes = np.array([len(x) for x in sets], np.int32)
+                values = np.concatenate([*sets, np.zeros(0, np.int64)])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+                sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)
+                fps = np.array(prints, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(fps), pa.array(sids), pa.array(sizes), lists], ["row", "doc_id", "digest", "fp", "sid", "n", "shingles"])
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), _digest().alias("digest"), F.col("text").cast("string")).mapInArrow(run, MARKS)
+
+
+def _least_overlap(n, similarity: float):
+    """Shingles that a set of ``n`` shares at least with any other so similar."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def _prefixes(sets: DataFrame, similarity: float, more: int, hot=((), ())) -> DataFrame:
+    """``key, node, fp, n, at``: the first shingles of each set, rare ones first, ``more`` beyond those that a similar set must meet.
+
+    Any one order of shingles makes two sets of the similarity meet; that of ``hot`` (keys, counts) by count and of
+    the others by hash keeps common shingles out of the prefixes.
+    """
+    order = np.argsort(np.array(hot[0], np.int64))
+    keys, counts = np.array(hot[0], np.int64)[order], np.array(hot[1], np.int64)[order]
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                out = []
+                for own in part.column(3):
+                    own = own.values.to_numpy(zero_copy_only=False)
+                    if len(keys) and len(own):
+                        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                        rank = np.where(keys[at] == own, counts[at], 0)
+                        if rank.any():
+                            own = own[np.lexsort((own, rank))]
+                    out.append(own[: len(own) - int(_least_overlap(len(own), similarity)) + 1 + more])
+                times = np.array([len(x) for x in out], np.int64)
+                column = lambda k: pa.array(np.repeat(part.column(k).to_numpy(), times))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.int64)])), column(0), column(1), column(2), pa.array(np.concatenate([*map(np.arange, times), np.zeros(0, np.int64)]).astype(np.int32))], ["key", "node", "fp", "n", "at"])
+
+    return sets.select("row", "fp", "n", "shingles").mapInArrow(run, "key long, node long, fp long, n int, at int")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u, v`` between fingerprints of the pairs (``a, b``: rows) whose sets are similar enough."""
+    pairs = written(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("__r")).unionAll(pairs.select("b")).distinct()
+    own = written(sets.join(needed, F.col("row") == F.col("__r"), "left_semi").select("row", "fp", "shingles"), "sets")
+    a, b = (own.select(F.col("row").alias(f"{x}_row"), F.col("fp").alias(f"{x}_fp"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+    both = pairs.join(a, F.col("a") == F.col("a_row")).join(b, F.col("b") == F.col("b_row"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    alike = shared >= F.lit(similarity - 1e-9) * (F.size("a_set") + F.size("b_set") - shared)
+    return both.filter(alike).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")).filter("u <> v").distinct()
+
+
+def _rooted(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fp, root`` of distinct ``fps`` under links ``u, v``."""
+    found = components(edges)
+    return written(fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
+
+
+def similar_classes(own: DataFrame, similarity: float = SIMILARITY, hot: int = HOT, **options) -> DataFrame:
+    """``fp, root`` of every distinct fingerprint of ``own`` (a written table of :func:`marks`).
+
+    Two rows belong together when their fingerprints differ in at most DISTANCE bits or their sets of five-word
+    shingles share ``similarity`` (Jaccard), and so on along chains.  No pair so similar is missed: sets that share t
+    shingles at least meet within all but t - 1 of the first ones of a common order.  Of the sets that meet, first all
+    are held against two of them; then every pair that is not yet in one component.
+    """
+    fps = written(own.select("fp").distinct(), "fps")
+    near = links(fps.select("fp", F.col("fp").alias("node")), **options).distinct()
+    same = own.groupBy("sid").agg(F.min("row").alias("__least"), F.min("fp").alias("u"))
+    again = own.select("row", "fp", "sid").join(same, "sid").filter("row <> __least")
+    equal = again.select("u", F.col("fp").alias("v"))
+    sets = own.select("row", "fp", "n", "shingles").join(again.select("row"), "row", "left_anti")
+    spread = _prefixes(sets, similarity, 8).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).toArrow()
+    prefixes = written(_prefixes(sets, similarity, 0, (spread["key"].to_numpy(), spread["c"].to_numpy())), "prefixes")
+    keys = prefixes.groupBy(F.col("key").alias("__k")).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = written(prefixes.join(keys, F.col("key") == F.col("__k")).drop("__k", "c"), "met")
+    star = met.select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(met.select("node", "high")).filter("a <> b").distinct()
+    edges = near.unionAll(equal.filter("u <> v")).unionAll(_verified(star, sets, similarity))
+    edges = written(edges, "edges")
+    rooted = _rooted(fps, edges)
+    open_ = met.select("key", "node", "fp", "n", "at").join(rooted, "fp")
+    mixed = open_.groupBy(F.col("key").alias("__k")).agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("__k")
+    open_ = written(open_.join(mixed, F.col("key") == F.col("__k"), "left_semi").select("key", "node", "n", "at", "root"), "open")
+    other = open_.select(F.col("key").alias("__k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("root").alias("s"))
+    # under the first shingle that two sets share, all that they share still lies ahead
+    ahead = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    fits = (F.least("n", "m") >= F.lit(similarity - 1e-9) * F.greatest("n", "m")) & (ahead >= F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("n") + F.col("m")))
+    rest = open_.join(other, F.col("key") == F.col("__k")).filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("s")) & fits)
+    late = written(_verified(rest.select(F.col("node").alias("a"), "b").distinct(), sets, similarity), "late")
+    return _rooted(fps, edges.unionAll(late)) if late.limit(1).count() else rooted
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """One document of each component of :func:`similar_classes`, the one with the smallest id, with all columns.
 
     The row that stays is found again by id and digest: ids may be null or repeat.  Rows that share both are made one
     only where such rows exist.
     """
-    prints = written(fingerprints(docs.withColumn("__digest", _digest()), also=("__digest",)), "prints")
-    classes = near_classes(prints, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__digest")).alias("win")
-    stay = prints.join(classes, "fp").groupBy("root").agg(first).select(F.col("win.doc_id").alias("__id"), F.col("win.__digest").alias("__won"))
-    own = docs.withColumn("__digest", _digest())
-    out = own.join(stay.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__won")), "left_semi")
-    if prints.groupBy("doc_id", "__digest").count().filter("count > 1").limit(1).count():
+    own = written(marks(docs), "marks")
+    classes = similar_classes(own, similarity, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("win")
+    slim = own.select("doc_id", "digest", "fp")
+    stay = slim.join(classes, "fp").groupBy("root").agg(first).select(F.col("win.doc_id").alias("__id"), F.col("win.digest").alias("__won"))
+    out = docs.withColumn("__digest", _digest())
+    out = out.join(stay.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__won")), "left_semi")
+    if slim.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
         out = out.withColumn("__first", F.struct("doc_id", "__digest")).dropDuplicates(["__first"]).drop("__first")
     return out.drop("__digest")
 

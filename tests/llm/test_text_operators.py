@@ -442,3 +442,12 @@ def test_edited_licenses_are_found():
             found = scanner.scan(text.encode())
             assert name in {m.license for m in found} and len(found) == 1
     assert all(not scanner.scan((r[1] or "").encode()) for r in corpus())
+
+
+@pytest.mark.parametrize("notice", [t for _, t in licenses.TEMPLATES if len(licenses.words_of(t.encode())) <= 8])
+def test_notices_directly_after_themselves(notice):
+    for n in (1, 2, 3, 7, 50):
+        text = "some words " + " ".join([notice] * n) + " and more"
+        found = sorted(licenses.Scanner().scan(text.encode()), key=lambda m: m.first)
+        size = len(licenses.words_of(notice.encode()))
+        assert [(m.first, m.last, m.coverage) for m in found] == [(2 + k * size, 2 + (k + 1) * size, 1.0) for k in range(n)]

@@ -148,10 +148,15 @@ class Scanner:
         found = []
         for t, low, high in self.candidates(words):
             name, template = self.templates[t]
-            begin, end = max(0, low - BAND // 2), min(len(words), high + len(template) + BAND // 2)
-            matched, a, b = align(template, words[begin:end])
-            if matched >= COVERAGE * len(template):
-                found.append(Match(name, matched / len(template), begin + a, begin + b, matched))
+            spans = [(max(0, low - BAND // 2), min(len(words), high + len(template) + BAND // 2))]
+            while spans:  # a short notice may stand several times within a candidate's band
+                begin, end = spans.pop()
+                if end - begin < COVERAGE * len(template):
+                    continue
+                matched, a, b = align(template, words[begin:end], BAND + max(0, len(template) - (end - begin)))
+                if matched >= COVERAGE * len(template):
+                    found.append(Match(name, matched / len(template), begin + a, begin + b, matched))
+                    spans += [(begin, begin + a), (begin + b, end)]
         found.sort(key=lambda m: (-m.matched, -m.coverage, m.first, m.license))
         kept: list[Match] = []
         for m in found:  # spans that stay do not overlap, so only the neighbours need a look

@@ -451,3 +451,15 @@ def test_notices_directly_after_themselves(notice):
         found = sorted(licenses.Scanner().scan(text.encode()), key=lambda m: m.first)
         size = len(licenses.words_of(notice.encode()))
         assert [(m.first, m.last, m.coverage) for m in found] == [(2 + k * size, 2 + (k + 1) * size, 1.0) for k in range(n)]
+
+
+def test_short_notices_with_one_word_changed():
+    scan = lambda t: [(m.license, m.matched) for m in licenses.Scanner().scan(t.encode())]
+    assert scan("Some text. Released under an MIT License.") == [("MIT", 4)]
+    assert scan("Some text. All rights reserved.") == [("All-rights-reserved", 3)]
+    for name, text in licenses.TEMPLATES:
+        words = licenses.words_of(text.encode())
+        if 4 <= len(words) <= licenses.SHORT:
+            for k in range(len(words)):
+                changed = b" ".join([*words[:k], b"zzz", *words[k + 1 :]]).decode()
+                assert name in [n for n, _ in scan(f"one two {changed} three four")], changed

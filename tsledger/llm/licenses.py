@@ -2,7 +2,8 @@
 
 Templates and texts become words (runs of ASCII letters, digits and bytes from 128 on, lower case).  A template's
 word grams are hashed and winnowed: of every window of consecutive grams the smallest hash is kept.  The inverted index
-leads from gram to (template, position).  All grams of a text are looked up; hits of a template on near diagonals are
+leads from gram to (template, position).  Short templates, whose few winnowed grams an edit may all touch, are indexed
+by all their pairs of words instead.  All grams of a text are looked up; hits of a template on near diagonals are
 one candidate when they cover enough of its fingerprints.  Around the candidate's diagonal a banded alignment of the
 word sequences counts matched words and gives the span.  Of overlapping spans the one with more matched words stays.
 
@@ -27,6 +28,9 @@ GRAM, WINDOW, BAND = 3, 2, 8
 #: Share of a template's fingerprints that makes a candidate; share of its words that makes a match.
 CANDIDATE, COVERAGE = 0.25, 0.6
 
+#: Templates of at most so many words are indexed by all their word pairs, and one pair makes a candidate.
+SHORT = 16
+
 #: Templates by licence: short notices as they stand in texts, and the openings of the licences themselves.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -40,6 +44,7 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("All-rights-reserved", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
@@ -115,8 +120,9 @@ class Scanner:
         self.index: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
         self.sizes = []
         for k, (_, words) in enumerate(self.templates):
-            kept = winnow(words)
-            self.sizes.append(len(kept))
+            brief = 2 <= len(words) <= SHORT
+            kept = [(g, k) for k, g in enumerate(grams(words, 2))] if brief else winnow(words)
+            self.sizes.append(0 if brief else len(kept))
             for gram, at in kept:
                 self.index.setdefault(gram, []).append((k, at))
         self.vocabulary = {w for g in self.index for w in g}

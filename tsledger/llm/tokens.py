@@ -7,10 +7,12 @@ as most words repeat.
 
 Normalisation, splitting and byte symbols follow the vocabulary file: NFC, white space to one space, lower case by
 code point, pieces by pattern, byte symbols, a mark on the last symbol of each piece.  Strings of special tokens in a
-text count one token each, as the library does by default.
+text count one token each, as the library does by default.  Which code points are letters or numbers, and their lower
+case, depends on the edition of Unicode; for chunks beyond the Latin blocks both are asked of the file's own
+normaliser and pattern, so counts agree whatever edition Python has.
 
-Defined cases: a null or empty text has 0 tokens; a ``doc_id`` may be null or repeat; an empty table gives an empty
-result; further columns are ignored.
+Defined cases: a null or empty text has 0 tokens; a very long text is counted whole, chunk by chunk; a ``doc_id`` may be
+null or repeat; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import Recent, require
 
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
+#: The first code point after the Latin blocks, on which all editions of Unicode agree.
+BEYOND = "\u0250"
 #: White space of the vocabulary's patterns.
 _SPACE = regex.compile(r"\s+")
 
@@ -77,6 +81,8 @@ class Counter:
     """Token counts under one vocabulary file."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
@@ -87,6 +93,8 @@ class Counter:
         special = [t["content"] for t in file["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.bytes = byte_symbols()
+        self.library = Tokenizer.from_file(path)
+        self.kinds = Recent(self._kind)
         self.pieces = Recent(self._piece)
         self.chunks = Recent(self._chunk)
 
@@ -95,14 +103,24 @@ class Counter:
         symbols[-1] += self.suffix
         return len(symbols) - merges_of(symbols, self.ranks)
 
+    def _kind(self, c: str) -> str:
+        """A Latin stand-in for a character: a letter, a number or neither, as the file's pattern has it."""
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        return "ǰ" if len(split("a" + c)) == 1 else "¤" if len(split("!" + c)) == 1 else "²"
+
+    def _beyond(self, part: str) -> list[str]:
+        """Pieces of a part with characters beyond the Latin blocks."""
+        low = self.library.normalizer.normalize_str(part)
+        shape = "".join(self.kinds[c] if c >= BEYOND else c for c in low)
+        return [low[m.start() : m.end()] for m in self.pattern.finditer(shape)]
+
     def _chunk(self, chunk: str) -> int:
         """Tokens of a chunk without white space."""
         parts = self.special.split(chunk) if self.special and "<" in chunk else [chunk]
         total = len(parts) - 1
         for part in parts:
-            # lower case by code point, without the rule for a final sigma
-            low = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-            total += sum(map(self.pieces.__getitem__, self.pattern.findall(low)))
+            pieces = self._beyond(part) if part and max(part) >= BEYOND else self.pattern.findall(part.lower())
+            total += sum(map(self.pieces.__getitem__, pieces))
         return total
 
     def count(self, text: str | None) -> int:
@@ -113,7 +131,8 @@ class Counter:
             parts = self.special.split(text) if self.special and "<|" in text else [text]
             if len(parts) > 1:
                 return len(parts) - 1 + sum(map(self.count, parts))
-            text = unicodedata.normalize("NFC", text)
+            if max(text) < BEYOND:  # else by chunk: white space is no part of any composition
+                text = unicodedata.normalize("NFC", text)
         # str.split also parts words at four control characters, which the pattern does not
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         return sum(map(self.chunks.__getitem__, _SPACE.split(text) if odd else text.split()))

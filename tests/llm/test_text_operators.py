@@ -117,6 +117,16 @@ def test_counts_equal_the_library():
     assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_counts_of_all_letters_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), tokens.Counter(path)
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x13500), *range(0x16000, 0x17000), *range(0x1E000, 0x20000), *range(0x2F800, 0x2FA20), 0x32808, 0x3E988] if c != 0x20]
+    for form in ("a{0}B", "'{0}'s1", "{0}"):
+        texts = [form.format("".join(points[k : k + n])) for n in (1, 7) for k in range(0, len(points), n)]
+        got, want = [own.count(t) for t in texts], [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_token_counts(docs, none):
     got = rows_of(tokens.token_counts(docs, limit=100))
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -233,6 +243,27 @@ def test_mixed_rows(docs, none):
     assert rows_of(mixing.mix(none)) == [] == rows_of(mixing.apply_mix(none))
 
 
+def test_mixed_rows_with_repeated_ids(spark):
+    """Ids that repeat within and across sources, or are null, and columns with the operator's own names."""
+    rnd = random.Random(5)
+    rows = [(k, " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(1, 60))), s, "p", 1, 2) for s in "abc" for k in range(40)]
+    rows += [(1, " ".join(["same"] * 50), s, "p", 1, 2) for s in "abc" for _ in range(5)]
+    rows += [(None, " ".join(["none"] * n), s, "p", 1, 2) for s in "ab" for n in (10, 10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __plan string, __row int, SIZE int").repartition(3)
+    of = defaultdict(int)
+    for r in rows:
+        of[r[2]] += len(words(r[1]))
+    want, got, times = water(of), defaultdict(int), Counter()
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        got[r.source] += len(words(r.text))
+        times[(r.doc_id, r.text, r.source)] += 1
+    assert all(abs(got[s] - want[s]) <= 0.5 + 1e-6 for s in of)
+    there = Counter((r[0], r[1], r[2]) for r in rows)
+    assert all(n <= 2 * there[k] for k, n in times.items() if k in there)
+
+
 # ---- SimHash
 
 

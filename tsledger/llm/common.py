@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,9 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         return own.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + os.path.join(tempfile.gettempdir(), f"tsledger-{os.getuid()}")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return "file://" + os.path.join(tempfile.gettempdir(), f"tsledger-{os.getuid()}")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -58,12 +57,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a table that :func:`written` made."""
+    """Remove the files of a table that :func:`written` made, once nothing will read them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+        MADE[:] = [m for m in MADE if m.rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
+
+
+@atexit.register
+def _sweep_last() -> None:
+    """Tables that results still read are of no use once this process ends."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and MADE:
+        try:
+            sweep(spark)
+        except Exception:  # the session may have ended before its process
+            MADE.clear()
+
+
+def free_name(df: DataFrame, want: str) -> str:
+    """``want``, made longer until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while want.lower() in taken:
+        want += "_"
+    return want
+
+
+def located(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a written table with a column that numbers its rows, and that column's name.
+
+    A locator is worth nothing unless it is stored: a lost executor's rows could be numbered anew otherwise.
+    """
+    row = free_name(df, "__row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def require(df: DataFrame, columns: Iterable[str]) -> None:

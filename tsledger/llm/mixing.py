@@ -1,14 +1,15 @@
 """Mixing of sources to target weights, exact to the word.
 
-Each document gets a random key by hashing its id; within its source documents are sorted by key and take part in
-that order until the source's budget is used up.  Keys are dealt into equal ranges whose number follows the row
-count, so the sort and the prefix sums of a hot source run in many tasks: sums per range first, then an offset per
-range, then a running sum inside each range.  A budget above the source's size repeats whole epochs; the last
-document of the last epoch is cut at the word where the budget ends.
+Each document gets a random key by hashing its id, or its text where it has no id; within its source documents are
+sorted by key and take part in that order until the source's budget is used up.  Keys are dealt into equal ranges whose
+number follows the row count, so the sort and the prefix sums of a hot source run in many tasks: sums per range first,
+then an offset per range, then a running sum inside each range.  A budget above the source's size repeats whole epochs;
+the last document of the last epoch is cut at the word where the budget ends.
 
 Defined cases: a null text has size 0 and takes 0; null sources form a source of their own, ranked last; rows that
-repeat an id share its key and stand beside each other; an empty table gives an empty result; further columns are
-ignored by :func:`mix` and kept by :func:`apply_mix`.
+repeat an id share its key, stand beside each other and are budgeted row by row, each in its own source; texts are
+measured whole, however long; an empty table gives an empty result; further columns, whatever their names, are ignored
+by :func:`mix` and kept by :func:`apply_mix`.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import beside, require, text_of, word_count, written
+from .common import beside, free_name, located, require, text_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = "mix-1"
-#: Rows of one key range, about.
-RANGE_ROWS = 1024
+#: Rows of one key range, about; ranges beyond MANY hold more, so that a source's offsets stay one small sort.
+RANGE_ROWS, MANY = 1024, 1 << 20
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -50,30 +51,40 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return a.select("skey", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _slim(docs: DataFrame, seed: str) -> DataFrame:
+def _slim(docs: DataFrame, seed: str, extra=()) -> DataFrame:
     require(docs, ("doc_id", "text", "source"))
+    named = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), text_of()))
     return docs.select(
         F.col("doc_id").cast("long"),
         F.col("source").cast("string"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         word_count(text_of()).alias("size"),
-        F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        F.md5(F.concat(F.lit(seed), F.lit(":"), named)).alias("key"),
+        *extra,
     )
 
 
-def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, **shares) -> DataFrame:
-    """A row per document: ``doc_id, size, source_size, target, taken, epochs, last_words``.
+def _range_bits(rows: int, range_rows: int) -> int:
+    """Leading bits of the keys that number the ranges."""
+    ranges = rows / range_rows
+    if ranges > MANY:
+        ranges = max(MANY, ranges / 64)
+    return min(31, max(0, math.ceil(math.log2(max(1, ranges)))))
+
+
+def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, extra=(), **shares) -> DataFrame:
+    """A row per document: ``doc_id, size, source_size, target, taken, epochs, last_words`` and the ``extra`` columns.
 
     ``taken`` words in all: ``epochs`` whole passes and the first ``last_words`` words of one more.
     """
-    slim = written(_slim(docs, seed), "mix")
-    bits = min(31, max(0, math.ceil(math.log2(max(1, slim.count()) / range_rows))))
+    slim = written(_slim(docs, seed, extra), "mix")
+    bits = _range_bits(slim.count(), range_rows)
     ranged = slim.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long"))
     per_range = ranged.groupBy("source", "skey", "range").agg(F.sum("size").alias("range_size"))
     sizes = per_range.groupBy("source", "skey").agg(F.sum("range_size").alias("source_size"))
     ahead = F.sum("range_size").over(W.partitionBy("skey").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
     offsets = per_range.select("skey", "range", F.coalesce(ahead, F.lit(0)).alias("offset")).join(targets(sizes, **shares), "skey")
-    inside = W.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("skey", "range").orderBy("key", "doc_id", "size", *extra).rowsBetween(W.unboundedPreceding, 0)
     run = ranged.withColumn("through", F.sum("size").over(inside))
     out = run.join(offsets, ["skey", "range"])
     budget = F.least(F.col("source_size") * 2, F.floor(F.col("target") + F.lit(0.5)))
@@ -81,27 +92,30 @@ def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, **share
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     begins = F.col("offset") + F.col("through") - F.col("size")
     out = out.withColumn("last_words", F.greatest(F.lit(0), F.least(F.col("size"), rest - begins)).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last_words")).cast("long").alias("taken"), "epochs", "last_words")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last_words")).cast("long").alias("taken"), "epochs", "last_words", *extra)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with the input's columns: a row per pass.
 
+    Rows find their share again by a stored number, so ids may be null or repeat, within a source or across sources.
+
     The document where a source's budget ends gives its first words to the last pass; ``n_chars``, where there is
     such a column, follows its text.  Documents that take nothing go, unless empty: those have no words to cut and
     stay once.
     """
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("epochs").alias("__epochs"), F.max("last_words").alias("__last"))
-    own = docs.withColumn("__words", word_count(text_of()))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size"))
-    both = own.join(plan.hint("shuffle_hash"), on)
-    passes = F.when(F.col("__size") == 0, F.array(F.lit(-1))).otherwise(
-        F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__epochs")), F.when(F.col("__last") > 0, F.array(F.col("__last"))).otherwise(F.array().cast("array<long>")))
+    own, row = located(docs, "mixrows")
+    plan, times, words = (free_name(own, f"__{x}") for x in ("plan", "pass", "size"))
+    taken = mix(own, extra=[row], **options).select(row, F.struct("size", "epochs", "last_words").alias(plan))
+    both = own.join(taken.hint("shuffle_hash"), row)
+    last = F.col(plan)["last_words"]
+    passes = F.when(F.col(plan)["size"] == 0, F.array(F.lit(-1).cast("long"))).otherwise(
+        F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col(plan)["epochs"]), F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<long>")))
     )
-    rows = both.withColumn("__pass", F.explode(passes))
-    cut = (F.col("__pass") >= 0) & (F.col("__pass") < F.col("__size"))
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    head = F.concat_ws(" ", F.slice(words, 1, F.greatest(F.lit(1), F.col("__pass").cast("int"))))
+    rows = both.withColumn(times, F.explode(passes)).withColumn(words, F.col(plan)["size"])
+    cut = (F.col(times) >= 0) & (F.col(times) < F.col(words))
+    parts = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    head = F.concat_ws(" ", F.slice(parts, 1, F.greatest(F.lit(1), F.col(times).cast("int"))))
     rows = rows.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -116,7 +130,7 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix-1:' || coalesce(cast(doc_id AS varchar), '')) AS key FROM documents
+         md5('mix-1:' || coalesce(cast(doc_id AS varchar), 'text:' || coalesce(text, ''))) AS key FROM documents
 ), s AS (
   SELECT source, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY source
 ), r AS (

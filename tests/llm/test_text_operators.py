@@ -356,8 +356,8 @@ def test_unrelated_rows_with_null_or_repeated_ids_stay(spark):
     assert got == Counter((d, f"{slow_fingerprint(t):016x}", least.get(t)) for d, t in rows)
 
 
-@pytest.mark.parametrize("hot", [1, 64])
-def test_stage_links_all_similar_texts(spark, hot):
+@pytest.mark.parametrize("together", [3, 2048])
+def test_stage_links_all_similar_texts(spark, together):
     """Edited texts of all lengths, a common passage and a large group, against all pairs."""
     rnd = random.Random(8)
     word = lambda: rnd.choice(WORDS) + str(rnd.randrange(40))
@@ -379,7 +379,7 @@ def test_stage_links_all_similar_texts(spark, hot):
             far += alike and (fps[i] ^ fps[k]).bit_count() > 2
             if (alike or (fps[i] ^ fps[k]).bit_count() <= 2) and root[i] != root[k]:
                 root = [min(root[i], root[k]) if x in (root[i], root[k]) else x for x in root]
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), together=together).collect()
     assert far > 50 and sorted(r.doc_id for r in got) == sorted(set(root))
 
 

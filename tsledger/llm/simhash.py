@@ -7,12 +7,15 @@ and only a spanning set of links leaves the group, never all pairs.  A key with
 fingerprints is not compared in one task: each of its fingerprints meets the others through the 65 patterns that
 differ from it in at most one bit, which finds exactly the pairs at distance two or less, whatever the group's size.
 
-The pipeline's stage (:func:`keep_one`) links these pairs and all whose five-word shingles share 0.8, found by prefixes
-of the sets and verified on the whole sets.
+The pipeline's stage (:func:`keep_one`) links these pairs and those whose five-word shingles share 0.8.  Fingerprints
+cannot find the latter, whose 64 bits differ in ten places and more; bands of least hashes find them, and their whole
+sets are compared.
 
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; fewer words than a
-shingle are one shingle; rows that repeat a ``doc_id`` each get a row; a null ``doc_id`` counts as larger than all
-others and gets a component like any other row, whose id is null where no member has one; an empty table gives an empty result; further columns are ignored.
+shingle are one shingle; very long texts are hashed whole, in parts; rows that repeat a ``doc_id`` each get a row; a
+null ``doc_id`` counts as larger than all others and gets a component like any other row, whose id is null where no
+member has one; an empty table gives an empty result; further columns are ignored by :func:`simhash_dedup` and kept by
+:func:`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, text_of, written
+from .common import drop_table, free_name, require, text_of, written
 from .components import components
 
 SHINGLE = 3
@@ -36,9 +39,15 @@ BLOCKS = 4
 HEAVY = 4096
 #: Similarity of five-word shingles that the pipeline's stage links at.
 SIMILARITY = 0.8
-#: Sets under one shingle from which on it moves to the end of the order.
-HOT = 8
+#: Bands of a set and least hashes in each: 1 - (1 - 0.8 ** 6) ** 24 = 0.9993 of pairs that share just 0.8 meet.
+BANDS, ROWS = 24, 6
+#: What a pair's sketches may agree in less than its sets must: four standard deviations.
+SLACK = 0.14
+#: Rows under one band that are compared in one group.
+TOGETHER = 2048
 _CHUNK = 1 << 15
+_XOR, _ODD = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
+_ODD |= 1
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -203,75 +212,56 @@ def _digest():
     return F.unhex(F.sha2(text_of(), 256))
 
 
-MARKS = "row long, doc_id long, digest binary, fp long, sid long, n int, shingles array<long>"
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least value of a set of 32-bit hashes under each of BANDS x ROWS permutations."""
+    out = np.full(len(_XOR), 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(own), 1024):
+        out = np.minimum(out, ((own[None, k : k + 1024] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
+    return out
+
+
+MARKS = "row long, doc_id long, digest binary, fp long, sid long, n int, shingles array<int>, bands array<long>, sketch binary"
+
+
+def _marked(words: list[bytes]) -> tuple:
+    threes = _grams(words, SHINGLE)
+    own = np.unique((five_shingles(words, threes).view(np.uint64) >> np.uint64(32)).astype(np.uint32))
+    least = minima(own)
+    bands = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    sid = xxhash.xxh64_intdigest(own.tobytes(), 7)
+    return _majority(threes), sid, own.view(np.int32), bands, least.astype(np.uint8).tobytes()
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """A row per document: locator, id, digest of the text, fingerprint, and its set of five-word shingles (``sid``: the set's hash, ``n``: its size)."""
+    """A row per document: locator, id, digest of the text, fingerprint; its set of five-word shingles as 32-bit hashes,
+    the set's hash ``sid`` and size ``n``; the keys of its bands and its sketch, a byte of each minimum."""
     require(docs, ("doc_id", "text"))
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
-                prints, sets = [], []
-                for t in part.column(3):
-                    words = _words(t.as_py())
-                    threes = _grams(words, SHINGLE)
-                    prints.append(_majority(threes))
-                    sets.append(five_shingles(words, threes))
+                fps, sids, sets, bands, sketches = zip(*(_marked(_words(t.as_py())) for t in part.column(3)))
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 sizes = np.array([len(x) for x in sets], np.int32)
-                values = np.concatenate([*sets, np.zeros(0, np.int64)])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
-                sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)
-                fps = np.array(prints, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(fps), pa.array(sids), pa.array(sizes), lists], ["row", "doc_id", "digest", "fp", "sid", "n", "shingles"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(fps) + 1, BANDS, dtype=np.int32)), signed([k for own in bands for k in own]))
+                columns = [signed(fps), signed(sids), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets))), keys, pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], ["row", "doc_id", "digest", "fp", "sid", "n", "shingles", "bands", "sketch"])
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), _digest().alias("digest"), F.col("text").cast("string")).mapInArrow(run, MARKS)
 
 
-def _least_overlap(n, similarity: float):
-    """Shingles that a set of ``n`` shares at least with any other so similar."""
-    return np.ceil(similarity * n - 1e-9).astype(np.int64)
-
-
-def _prefixes(sets: DataFrame, similarity: float, more: int, hot=((), ())) -> DataFrame:
-    """``key, node, fp, n, at``: the first shingles of each set, rare ones first, ``more`` beyond those that a similar set must meet.
-
-    Any one order of shingles makes two sets of the similarity meet; that of ``hot`` (keys, counts) by count and of
-    the others by hash keeps common shingles out of the prefixes.
-    """
-    order = np.argsort(np.array(hot[0], np.int64))
-    keys, counts = np.array(hot[0], np.int64)[order], np.array(hot[1], np.int64)[order]
-
-    def run(batches):
-        for batch in batches:
-            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
-                out = []
-                for own in part.column(3):
-                    own = own.values.to_numpy(zero_copy_only=False)
-                    if len(keys) and len(own):
-                        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                        rank = np.where(keys[at] == own, counts[at], 0)
-                        if rank.any():
-                            own = own[np.lexsort((own, rank))]
-                    out.append(own[: len(own) - int(_least_overlap(len(own), similarity)) + 1 + more])
-                times = np.array([len(x) for x in out], np.int64)
-                column = lambda k: pa.array(np.repeat(part.column(k).to_numpy(), times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.int64)])), column(0), column(1), column(2), pa.array(np.concatenate([*map(np.arange, times), np.zeros(0, np.int64)]).astype(np.int32))], ["key", "node", "fp", "n", "at"])
-
-    return sets.select("row", "fp", "n", "shingles").mapInArrow(run, "key long, node long, fp long, n int, at int")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links ``u, v`` between fingerprints of the pairs (``a, b``: rows) whose sets are similar enough."""
-    pairs = written(pairs, "pairs")
+    """Links ``u, v`` between fingerprints of the pairs (``a, b``: rows) whose whole sets are similar enough."""
     needed = pairs.select(F.col("a").alias("__r")).unionAll(pairs.select("b")).distinct()
     own = written(sets.join(needed, F.col("row") == F.col("__r"), "left_semi").select("row", "fp", "shingles"), "sets")
     a, b = (own.select(F.col("row").alias(f"{x}_row"), F.col("fp").alias(f"{x}_fp"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_row")).join(b, F.col("b") == F.col("b_row"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     alike = shared >= F.lit(similarity - 1e-9) * (F.size("a_set") + F.size("b_set") - shared)
-    return both.filter(alike).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")).filter("u <> v").distinct()
+    out = written(both.filter(alike).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")).filter("u <> v").distinct(), "alike")
+    drop_table(sets.sparkSession, own)
+    return out
 
 
 def _rooted(fps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -280,38 +270,82 @@ def _rooted(fps: DataFrame, edges: DataFrame) -> DataFrame:
     return written(fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
 
 
-def similar_classes(own: DataFrame, similarity: float = SIMILARITY, hot: int = HOT, **options) -> DataFrame:
+def _likely(batches, similarity: float):
+    """Pairs ``a, b`` of sorted rows ``key, low, high, part, row, root, n, sketch`` under one key and pair of parts:
+    of different roots, with sizes and sketches that allow the similarity."""
+    enough = (similarity - SLACK) * BANDS * ROWS
+    held: list[pa.RecordBatch] = []
+
+    def pairs(table: pa.Table):
+        group = np.stack([table.column(k).to_numpy() for k in ("key", "low", "high")], axis=1)
+        part, low, high, row, root, n = (table.column(k).to_numpy() for k in ("part", "low", "high", "row", "root", "n"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(row), -1)
+        found = []
+        for own in np.split(np.arange(len(row)), np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1):
+            left, right = own[part[own] == low[own]], own[part[own] == high[own]]
+            for k, at in enumerate(left):
+                # within one part each pair once
+                other = right[k + 1 :] if low[at] == high[at] else right
+                other = other[(root[other] != root[at]) & (np.minimum(n[other], n[at]) >= similarity * np.maximum(n[other], n[at]))]
+                other = other[(sketch[other] == sketch[at]).sum(axis=1) >= enough]
+                found += [np.stack([np.minimum(row[other], row[at]), np.maximum(row[other], row[at])], axis=1)] if len(other) else []
+        at = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        same = np.ones(len(table), bool)
+        for k in ("key", "low", "high"):
+            own = table.column(k).to_numpy()
+            same &= own == own[-1]
+        cut = len(table) - int(same.sum())
+        if cut:
+            yield pairs(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pairs(pa.Table.from_batches(held))
+
+
+def similar_classes(own: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER, **options) -> DataFrame:
     """``fp, root`` of every distinct fingerprint of ``own`` (a written table of :func:`marks`).
 
     Two rows belong together when their fingerprints differ in at most DISTANCE bits or their sets of five-word
-    shingles share ``similarity`` (Jaccard), and so on along chains.  No pair so similar is missed: sets that share t
-    shingles at least meet within all but t - 1 of the first ones of a common order.  Of the sets that meet, first all
-    are held against two of them; then every pair that is not yet in one component.
+    shingles share ``similarity`` (Jaccard), and so on along chains.  Candidates for the latter meet under a band of
+    least hashes; whole sets decide.  Under each band all rows are held against two of them; then, where more than one
+    component is left under a band, all pairs between components that their sketches do not rule out.  Bands with more
+    than ``together`` rows are compared in parts of about that size.
     """
+    spark = own.sparkSession
     fps = written(own.select("fp").distinct(), "fps")
     near = links(fps.select("fp", F.col("fp").alias("node")), **options).distinct()
-    same = own.groupBy("sid").agg(F.min("row").alias("__least"), F.min("fp").alias("u"))
-    again = own.select("row", "fp", "sid").join(same, "sid").filter("row <> __least")
-    equal = again.select("u", F.col("fp").alias("v"))
-    sets = own.select("row", "fp", "n", "shingles").join(again.select("row"), "row", "left_anti")
-    spread = _prefixes(sets, similarity, 8).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).toArrow()
-    prefixes = written(_prefixes(sets, similarity, 0, (spread["key"].to_numpy(), spread["c"].to_numpy())), "prefixes")
-    keys = prefixes.groupBy(F.col("key").alias("__k")).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = written(prefixes.join(keys, F.col("key") == F.col("__k")).drop("__k", "c"), "met")
-    star = met.select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(met.select("node", "high")).filter("a <> b").distinct()
-    edges = near.unionAll(equal.filter("u <> v")).unionAll(_verified(star, sets, similarity))
-    edges = written(edges, "edges")
+    heads = written(own.groupBy("sid").agg(F.min("row").alias("head"), F.min("fp").alias("u"), F.count(F.lit(1)).alias("c")), "heads")
+    equal = own.select("fp", "sid").join(heads.filter("c > 1").select("sid", "u"), "sid").filter("u <> fp").select("u", F.col("fp").alias("v"))
+    sets = own.filter("n > 0").join(heads.select("head"), F.col("row") == F.col("head"), "left_semi")
+    keyed = sets.select("row", "fp", F.explode("bands").alias("key"))
+    keys = keyed.groupBy(F.col("key").alias("__k")).agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = written(keyed.join(keys, F.col("key") == F.col("__k")).drop("__k"), "met")
+    star = written(met.select(F.col("low").alias("a"), F.col("row").alias("b")).unionAll(met.select("row", "high")).filter("a <> b").distinct(), "star")
+    alike = _verified(star, sets, similarity)
+    edges = written(near.unionAll(equal).unionAll(alike), "edges")
     rooted = _rooted(fps, edges)
-    open_ = met.select("key", "node", "fp", "n", "at").join(rooted, "fp")
+    open_ = met.select("key", "row", "fp", "c").join(rooted, "fp")
     mixed = open_.groupBy(F.col("key").alias("__k")).agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("__k")
-    open_ = written(open_.join(mixed, F.col("key") == F.col("__k"), "left_semi").select("key", "node", "n", "at", "root"), "open")
-    other = open_.select(F.col("key").alias("__k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("root").alias("s"))
-    # under the first shingle that two sets share, all that they share still lies ahead
-    ahead = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
-    fits = (F.least("n", "m") >= F.lit(similarity - 1e-9) * F.greatest("n", "m")) & (ahead >= F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("n") + F.col("m")))
-    rest = open_.join(other, F.col("key") == F.col("__k")).filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("s")) & fits)
-    late = written(_verified(rest.select(F.col("node").alias("a"), "b").distinct(), sets, similarity), "late")
-    return _rooted(fps, edges.unionAll(late)) if late.limit(1).count() else rooted
+    open_ = open_.join(mixed, F.col("key") == F.col("__k"), "left_semi").select("key", "row", "root", F.ceil(F.col("c") / F.lit(together)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    spread = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "row", "root")
+    spread = spread.join(sets.select(F.col("row").alias("__r"), "n", "sketch"), F.col("row") == F.col("__r")).drop("__r")
+    dealt = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
+    likely = dealt.mapInArrow(lambda batches: _likely(batches, similarity), "a long, b long").distinct()
+    rest = written(likely.join(star.select(F.least("a", "b").alias("__a"), F.greatest("a", "b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "rest")
+    late = _verified(rest, sets, similarity)
+    out = _rooted(fps, edges.unionAll(late)) if late.limit(1).count() else rooted
+    for spent in (met, star, alike, edges, rest, late, heads, fps, *([rooted] if out is not rooted else [])):
+        drop_table(spark, spent)
+    return out
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, **options) -> DataFrame:
@@ -324,12 +358,15 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, **options) -> Data
     classes = similar_classes(own, similarity, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("win")
     slim = own.select("doc_id", "digest", "fp")
-    stay = slim.join(classes, "fp").groupBy("root").agg(first).select(F.col("win.doc_id").alias("__id"), F.col("win.digest").alias("__won"))
-    out = docs.withColumn("__digest", _digest())
-    out = out.join(stay.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__won")), "left_semi")
+    stay = slim.join(classes, "fp").groupBy("root").agg(first)
+    text, won, one = free_name(docs, "__digest"), free_name(docs, "__won"), free_name(docs, "__first")
+    stay = stay.select(F.struct(F.col("win.doc_id").alias("id"), F.col("win.digest").alias("digest")).alias(won))
+    out = docs.withColumn(text, _digest())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(won)["id"]) & (F.col(text) == F.col(won)["digest"])
+    out = out.join(stay.hint("shuffle_hash"), same, "left_semi")
     if slim.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
-        out = out.withColumn("__first", F.struct("doc_id", "__digest")).dropDuplicates(["__first"]).drop("__first")
-    return out.drop("__digest")
+        out = out.withColumn(one, F.struct("doc_id", text)).dropDuplicates([one]).drop(one)
+    return out.drop(text)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -153,64 +153,101 @@ def test_templates(spark):
     """Labels reject the template of a listing, spare the other, and merge branches that look alike."""
     pages, labels = [], []
     for k in range(40):
-        pages += [(k, f"http://h.io/spam/item-{k}.html"), (100 + k, f"http://h.io/news/{k}/"), (200 + k, f"http://h.io/a{'bcdefghij'[k % 9]}/page")]
+        pages += [(k, f"http://h.io/spam/item-{k}.html"), (100 + k, f"http://h.io/news/{k}/"), (200 + k, f"http://h.io/a{'bcdefghij'[k % 9]}/page/{k}/x")]
     pages += [(300 + k, f"http://h.io/tag/{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'xyz'[k // 26]}") for k in range(70)]
     labels += [(f"http://h.io/spam/item-{k}.html", "block") for k in range(20)] + [(f"http://h.io/news/{k}/", "allow") for k in range(20)]
-    labels += [(f"http://h.io/a{c}/page", "allow" if n % 2 else "block") for c in "bcdefghij" for n in range(8)]
+    labels += [(f"http://h.io/a{c}/page/{n}/x", "allow" if n % 2 else "block") for c in "bcdefghij" for n in range(8)]
+    pages += [(400, "http://h.io/spam/other"), (401, "http://h.io/"), (402, "http://www.b.h.io/q"), (403, "http://else.org/q")]
     frame = spark.createDataFrame(pages, "page_id long, url string")
     given = spark.createDataFrame(labels, "url string, ruled string")
     got = {r.page_id: r for r in urls.filter_urls(frame, (), given).collect()}
     assert got[30].template == "/spam/item-{n}.html" and got[30].verdict == "block" and got[30].purity == pytest.approx(21 / 22)
     assert got[130].template == "/news/{n}/" and got[130].verdict == "allow"
-    assert got[200].template == "/*/page" and got[200].verdict == "allow" and got[200].purity == pytest.approx(0.5)
     assert got[300].template == "/tag/*" and len(got) == len(pages)
+    assert got[400].judged_by == "branch" and got[400].purity == pytest.approx(0.5 + 0.7 * (21 / 22 - 0.5)) and got[400].verdict == "block"
+    assert got[401].judged_by == "host" and got[402].judged_by == "domain" and got[403].judged_by == "none" and got[403].purity == 0.5
+    assert {got[k].judged_by for k in range(200, 240)} == {"template"} and all(got[k].verdict == "allow" for k in range(200, 240))
+
+
+@pytest.mark.parametrize("wide", [10, 50, 51, 400])
+def test_a_bad_branch_stays_apart_in_a_wide_node(spark, wide):
+    names = ["".join("abcdefghij"[int(d)] for d in f"{k:03d}") for k in range(wide)]
+    pages = [(k * 10 + n, f"http://h.io/{name}/{n}") for k, name in enumerate(names) for n in range(8)]
+    labels = [(u, "block" if u.startswith("http://h.io/aaa/") else "allow") for _, u in pages]
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), (), spark.createDataFrame(labels, "url string, ruled string")).collect()
+    for r in got:
+        bad = r.path.startswith("/aaa/")
+        assert r.verdict == ("block" if bad else "allow") and r.template == ("/aaa/{n}" if bad else "/*/{n}")
 
 
 def slow_templates(paths):
-    """Of {(host, path): [blocked, allowed]}: template and purity by the module's rules, level by level."""
+    """Of {(host, path): [blocked, allowed]}: template, purity and whose labels, by the module's rules."""
     import re
 
-    def pattern(s):
+    def shaped(s):
         s = re.sub(r"[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}|(?<![0-9a-zA-Z])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{12,}(?![0-9a-zA-Z])", "{h}", s)
         return re.sub("[0-9]+", "{n}", s)
 
-    segments = {k: ([] if k[1] == "" else re.sub("^/", "", k[1]).split("/")) for k in paths}
-    template = dict.fromkeys(paths, "")
-    for level in range(max((min(len(s), urls.DEPTH + 1) for s in segments.values()), default=0)):
-        inside = [k for k in paths if len(segments[k]) > level]
-        seg = {k: pattern(segments[k][level]) if level < urls.DEPTH else "**" for k in inside}
-        kids = defaultdict(lambda: [0, 0])
-        for k in inside:
-            own = kids[(k[0], template[k], seg[k])]
-            own[0] += paths[k][0]
-            own[1] += paths[k][1]
-        nodes = defaultdict(list)
-        for (h, t, s), (b, a) in kids.items():
-            nodes[(h, t)].append((s, b, a + b))
-        label = {}
-        for (h, t), own in nodes.items():
-            all_b, all_n = sum(b for _, b, _ in own), sum(n for _, _, n in own)
-            for s, b, n in own:
-                rest_n, rest_b, share = all_n - n, all_b - b, all_b / max(all_n, 1)
-                gap = abs(b / max(n, 1) - rest_b / max(rest_n, 1))
-                spread = (share * (1 - share) * (1 / max(n, 1) + 1 / max(rest_n, 1))) ** 0.5
-                similar = n >= urls.LEAST_LABELLED and rest_n >= urls.LEAST_LABELLED and gap <= urls.BOUND * spread
-                label[(h, t, s)] = "*" if len(own) > urls.MOST_CHILDREN or similar else s
-        template |= {k: f"{template[k]}/{label[(k[0], template[k], seg[k])]}" for k in inside}
-    counts = defaultdict(lambda: [0, 0])
+    def kind(s):
+        return 0 if not s else 1 if s == "{n}" else 3 if "{h}" in s else 2 if "{n}" in s else 4 if "." in s else 5
+
+    segments = {k: ([] if k[1] == "" else re.sub("^/", "", shaped(k[1])).split("/")) for k in paths}
+    kids = defaultdict(lambda: [0, 0, 0, *[0] * urls.KINDS])
+    for k, (b, a) in paths.items():
+        s = segments[k]
+        for level, seg in enumerate(s):
+            own = kids[(k[0], tuple(s[:level]), seg)]
+            own[0] += 1
+            own[1] += b
+            own[2] += b + a
+            own[3 + kind(s[level + 1] if level + 1 < len(s) else None)] += 1
+    nodes, rare = defaultdict(lambda: [0] * (3 + urls.KINDS)), defaultdict(int)
+    for (h, node, _), own in kids.items():
+        nodes[(h, node)] = [x + y for x, y in zip(nodes[(h, node)], own)]
+        rare[(h, node)] += own[0] <= urls.RARE
+    label = {}
+    for (h, node, seg), own in kids.items():
+        whole = nodes[(h, node)]
+        rest = [x - y for x, y in zip(whole, own)]
+        share = whole[1] / max(whole[2], 1)
+        gap = abs(own[1] / max(own[2], 1) - rest[1] / max(rest[2], 1))
+        spread = (share * (1 - share) * (1 / max(own[2], 1) + 1 / max(rest[2], 1))) ** 0.5
+        differs = own[2] >= urls.LEAST and rest[2] >= urls.LEAST and gap > urls.BOUND * spread
+        far = sum(abs(x / own[0] - y / max(rest[0], 1)) for x, y in zip(own[3:], rest[3:])) / 2
+        chance = urls.BOUND * ((1 / own[0] + 1 / max(rest[0], 1)) / 4) ** 0.5
+        alike = own[0] >= urls.LEAST and rest[0] >= urls.LEAST and far <= urls.ALIKE + chance
+        wild = not differs and (alike or (own[0] <= urls.RARE and rare[(h, node)] >= urls.MANY))
+        label[(h, node, seg)] = "*" if wild else seg
+    template = {k: "".join("/" + label[(k[0], tuple(s[:n]), x)] for n, x in enumerate(s)) for k, s in segments.items()}
+    count = defaultdict(lambda: [0, 0])
     for k, (b, a) in paths.items():
-        counts[(k[0], template[k])][0] += b
-        counts[(k[0], template[k])][1] += a
-    return {k: (template[k], (counts[(k[0], template[k])][0] + 1) / (sum(counts[(k[0], template[k])]) + 2)) for k in paths}
+        parts = template[k].split("/")
+        for key in {("t", k[0], template[k]), ("d", ".".join(k[0].split(".")[-2:])), *(("b", k[0], "/".join(parts[:n])) for n in range(1, len(parts) + 1))}:
+            count[key][0] += b
+            count[key][1] += b + a
+    out = {}
+    smooth = lambda c: (c[0] + 1) / (c[1] + 2)
+    for k in paths:
+        parts, own = template[k].split("/"), count[("t", k[0], template[k])]
+        above = next((n for n in range(len(parts), 0, -1) if count[("b", k[0], "/".join(parts[:n]))][1]), None)
+        domain = count[("d", ".".join(k[0].split(".")[-2:]))]
+        if own[1]:
+            out[k] = template[k], smooth(own), "template"
+        elif above:
+            out[k] = template[k], 0.5 + 0.7 * (smooth(count[("b", k[0], "/".join(parts[:above]))]) - 0.5), "host" if above == 1 else "branch"
+        else:
+            out[k] = template[k], 0.5 + 0.49 * (smooth(domain) - 0.5) if domain[1] else 0.5, "domain" if domain[1] else "none"
+    return out
 
 
 def test_trees_against_brute_force(spark):
     rnd = random.Random(8)
     pages = []
     for k in range(900):
-        host = rnd.choice(["a.com", "a.com", "b.net", "c.org", "x.io"])
-        parts = [rnd.choice(["en", "de", "es", "fr", f"t{rnd.choice('abcdefgh')}"]), rnd.choice([str(rnd.randrange(900)), f"{rnd.randrange(99)}.html", "deadbeef00112233", "".join(rnd.choice("abcdef") for _ in range(2))]), *["deep"] * rnd.choice([0, 0, 0, 1, 20])]
+        host = rnd.choice(["a.com", "a.com", "b.net", "c.org", "x.io", "www.a.com", "only.example.org"])
+        parts = [rnd.choice(["en", "de", "es", "fr", f"t{rnd.choice('abcdefgh')}"]) if host != "www.a.com" else "fr", rnd.choice([str(rnd.randrange(900)), f"{rnd.randrange(99)}.html", "deadbeef00112233", "".join(rnd.choice("abcdef") for _ in range(2))]), *["deep"] * rnd.choice([0, 0, 0, 1, 20])]
         pages.append((k, f"http://{host}/" + "/".join(parts) + rnd.choice(["", "/", "?q=1"])))
+    pages += [(1000, None), (1001, "http://a.com"), (1002, "http://a.com/"), (1003, "nothing")]
     got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()
     paths = defaultdict(lambda: [0, 0])
     for r in got:
@@ -222,7 +259,7 @@ def test_trees_against_brute_force(spark):
     assert len(got) == len(pages)
     for r in got:
         rule = slow_rule(r.host, r.path)
-        template, purity = want[(r.host, r.path)]
-        assert r.template == template and r.purity == pytest.approx(purity)
+        template, purity, by = want[(r.host, r.path)]
+        assert (r.template, r.judged_by) == (template, by) and r.purity == pytest.approx(purity)
         assert r.verdict == (rule[2] if rule else "block" if purity >= urls.PURITY else "allow")
-    assert any("*" in r.template for r in got) and any("**" in r.template for r in got)
+    assert any("*" in r.template for r in got) and {"template", "host", "domain", "none"} <= {r.judged_by for r in got}

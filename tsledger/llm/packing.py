@@ -4,16 +4,17 @@ Bounded-space online best fit: at most ``open_bins`` bins are open; a bitset has
 open bin has, so the tightest bin that still fits is one bit scan away.  When one bin too many is open, the fullest
 closes.  Every input partition packs its own documents while it tokenises them, without a shuffle.  Bins that are
 still open when a partition ends are opened again: their pieces, and only those, are dealt by hash into groups of
-bounded size and packed once more.  In both rounds a packer holds a few pieces back and places them longest first: fewer
-than the bins that may be open, so none has to close early for it.
+bounded size, where they arrive in the order of their hashes and are packed once more.  Every piece is placed when it
+arrives; none is held back.
 
 Token identifiers are those of the vocabulary file's library.  A text is parted at its spaces; identifiers of chunks
 and of pattern pieces are kept in bounded tables per worker.  A text in which white space other than single spaces
 and inner line ends occurs goes to the library whole.
 
 Defined cases: a null text is empty; every document ends with ``END``, so an empty one is one piece of length 1; a
-document longer than a sequence is cut, its first piece being the shorter; a repeated or null ``doc_id`` is packed
-like any other; an empty table gives an empty result; further columns are ignored.
+document longer than a sequence is cut, its first piece being the shorter, however long it is; a repeated or null
+``doc_id`` is packed like any other; an empty table gives an empty result; further columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ from .common import Recent, require, written
 LENGTH = 1024
 END = 2
 OPEN_BINS = 2048
-#: Pieces that are held and placed longest first; about as many as bins may be open.
-AHEAD = 2000
 #: Pieces that one task of the second round packs, about.
 GROUP_PIECES = 20_000
 VOCABULARY = "byte_bpe_50k.json"
@@ -152,27 +151,6 @@ class BestFit:
         return [self._close() for _ in range(self.count)]
 
 
-class Ahead:
-    """A packer that holds up to ``most`` pieces and places them longest first, equal ones as they came."""
-
-    def __init__(self, packer: BestFit, most: int = AHEAD):
-        self.packer, self.most, self.held = packer, most, []
-
-    def add(self, item, size: int) -> list:
-        self.held.append((size, item))
-        return self._place() if len(self.held) >= self.most else []
-
-    def _place(self) -> list:
-        self.held.sort(key=lambda x: -x[0])
-        closed = [b for size, item in self.held for b in self.packer.add(item, size)]
-        self.held.clear()
-        return closed
-
-    def finish(self) -> tuple[list, list]:
-        """Bins closed by the pieces still held, and bins left open."""
-        return self._place(), self.packer.finish()
-
-
 PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
 _PLACE = [("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())]
 _DDL = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long, open boolean"
@@ -209,16 +187,14 @@ def pack_partitions(docs: DataFrame, vocabulary: str | None = None, length: int
     def run(batches):
         from .tokens import vocabulary_path
 
-        of, packer, out = tokens(vocabulary or vocabulary_path(VOCABULARY)).ids, Ahead(BestFit(length, open_bins)), _Rows(PIECES, False)
+        of, packer, out = tokens(vocabulary or vocabulary_path(VOCABULARY)).ids, BestFit(length, open_bins), _Rows(PIECES, False)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = of(text.as_py()) + tail
                 for k, (start, n) in enumerate(cuts(len(ids) // 4, length)):
                     out.put(packer.add((doc_id, k, start, n, ids[4 * start : 4 * (start + n)]), n), False)
                 yield from out.full()
-        closed, left = packer.finish()
-        out.put(closed, False)
-        out.put(left, True)
+        out.put(packer.finish(), True)
         yield out.rest()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _DDL)
@@ -240,15 +216,14 @@ def repack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS,
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "sequence_id long", "offset long", "open boolean"])
 
     def run(batches):
-        packer, out = Ahead(BestFit(length, open_bins)), None
+        packer, out = BestFit(length, open_bins), None
         for batch in batches:
             out = out or _Rows([(f.name, f.type) for f in batch.schema], True)
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 out.put(packer.add(row, row[at]), False)
             yield from out.full()
         if out:
-            for closed in packer.finish():
-                out.put(closed, False)
+            out.put(packer.finish(), False)
             yield out.rest()
 
     again = groups.mapInArrow(run, ddl)

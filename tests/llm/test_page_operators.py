@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from tsledger.llm import common, media, urls, warc
 
@@ -82,6 +84,46 @@ def test_media_columns(spark):
     assert media.read_media(media.media_columns(frame.filter("false"))).collect() == []
 
 
+def slow_image(payload):
+    """Pixels straight from a payload, by the formulas: no JPEG, no integer arithmetic, one sample after another."""
+    units = [payload[k : k + 576] for k in range(0, len(payload), 576)]
+    wide = min(len(units), 64)
+    high = -(-len(units) // wide)
+    units += [bytes([128]) * 576] * (wide * high - len(units))  # blocks of a grid's last places are empty
+    order = sorted(((x, y) for x in range(8) for y in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    basis = np.array([[(np.sqrt(1 / 8) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    image = np.zeros((high * 16, wide * 16, 3))
+    for n, unit in enumerate(units):
+        blocks = []
+        for k in range(9):
+            c = np.zeros((8, 8))
+            for value, (row, column) in zip(unit[64 * k : 64 * k + 64], order):
+                c[row, column] = value - 128
+            blocks.append(np.clip(np.round(basis.T @ c @ basis + 128), 0, 255))
+        square = lambda four: np.block([[four[0], four[1]], [four[2], four[3]]])
+        y, cb, cr = square(blocks[0:4]), square(blocks[4:8]) - 128, np.kron(blocks[8], np.ones((2, 2))) - 128
+        rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+        top, left = 16 * (n // wide), 16 * (n % wide)
+        image[top : top + 16, left : left + 16] = np.clip(np.round(rgb), 0, 255)
+    return image
+
+
+def test_features_and_tensors_against_the_formulas(spark):
+    rnd = random.Random(4)
+    texts = ["", "plain text " * 40, "".join(chr(rnd.randrange(32, 0x2FF)) for _ in range(3000)), "Ünï " * 9300]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    place = media.store_media(frame, media.Stored.at(common.table_path(spark, "media-test")))
+    stored = {r.doc_id: r for r in media.read_tensors(spark, place).collect()}
+    for r in media.read_media(spark.read.parquet(place.media)).collect():
+        image = slow_image(media.payload_of(texts[r.doc_id]))
+        tensor = np.frombuffer(stored[r.doc_id].tensor, np.uint8).reshape(stored[r.doc_id].height, stored[r.doc_id].width, 3)
+        assert tensor.shape == image.shape and np.abs(tensor - image).max() <= 3 and np.abs(tensor - image).mean() < 0.05 and stored[r.doc_id].media_sha256 == r.media_sha256
+        shape, means = r.feature.split(":")[:2]
+        assert shape == f"{image.shape[0]}x{image.shape[1]}"
+        assert np.allclose([float(x) for x in means.split(",")], image.mean(axis=(0, 1)), atol=0.2)
+        assert float(r.feature.split(":")[2]) == pytest.approx((image[..., 1] ** 2).mean(), abs=40)
+
+
 # ---- archives
 
 
@@ -98,9 +140,10 @@ def test_warc(spark):
         if len(h.encode()) >= 1000 and i is not None:
             best[h] = max(best.get(h, i), i)
     want = Counter()
-    for i, _, h in pages:
+    for k, (i, _, h) in enumerate(pages):
         h = h or ""
-        revisit = h in best and i != best[h]
+        # of two rows with the largest id the first is the response
+        revisit = h in best and (i != best[h] or any(p[0] == i and p[2] == h for p in pages[:k]))
         want[(i, h.encode(), hashlib.sha1(h.encode()).hexdigest(), "revisit" if revisit else "response", best[h] if revisit else None)] += 1
     assert Counter((r.page_id, bytes(r.payload), r.sha1, r.record_type, r.refers_to) for r in got) == want
     for r in warc.warc_records(spark, archive).collect():
@@ -115,9 +158,30 @@ def test_damaged_payloads_are_found(spark):
     frame = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
     archive = warc.write_archive(frame, warc.Archive.at(common.table_path(spark, "warc-test")))
     stored = spark.read.parquet(archive.payloads).collect()
-    spark.createDataFrame([(bytes(r.digest), b"other") for r in stored], "digest binary, payload binary").write.mode("overwrite").parquet(archive.payloads)
+    frames = spark.createDataFrame([(bytes(r.digest), zstandard.compress(b"other")) for r in stored], "digest binary, frame binary")
+    frames.write.mode("overwrite").parquet(archive.payloads)
     with pytest.raises(Exception, match="does not have its digest"):
         warc.read_archive(spark, archive).collect()
+    frames.withColumn("frame", F.lit(b"no frame")).write.mode("overwrite").parquet(archive.payloads)
+    with pytest.raises(Exception, match="cannot be unpacked"):
+        warc.read_archive(spark, archive).collect()
+
+
+def test_records_are_exact(spark):
+    """Ids never repeat, references lead to their response, urls come back exactly, repeated largest ids have one response."""
+    big, url = "<p>é" + "x" * 1200, "http://é/1\r\nWARC-Refers-To-Page: 77\n"
+    forged = "\r\nWARC-Refers-To-Page: 9\r\n" + "y" * 1000
+    rows = [(1, url, big), (2, "b", big), (2, "b", big), (1, url, "small"), (1, url, "small"), (None, None, None), (4, "f", forged), (4, "f", forged + "z")]
+    frame = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, FRAME string, row int")
+    archive = warc.write_archive(frame, warc.Archive.at(common.table_path(spark, "warc-test")))
+    got = warc.warc_records(spark, archive).collect()
+    assert sorted((r.page_id or 0, r.url) for r in got) == sorted((r[0] or 0, r[1] or "") for r in rows)
+    fields = [dict(line.split(": ", 1) for line in bytes(r.record).decode().split("\r\n\r\n")[0].split("\r\n")[1:]) for r in got]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(ids) == len(rows)
+    again = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(again) == 2 and {ids[f["WARC-Refers-To"]]["WARC-Page-ID"] for f in again} == {"2"} == {f["WARC-Refers-To-Page"] for f in again}
+    assert all(bytes(r.payload).decode() in {x[2] or "" for x in rows} for r in got)
 
 
 # ---- urls

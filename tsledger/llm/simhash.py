@@ -43,8 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: What a pair's sketches may agree in less than its sets must: four standard deviations.
 SLACK = 0.14
-#: Rows under one band that are compared in one group.
-TOGETHER = 2048
+#: Rows under one band that are compared in one group, and shingles for each of them.
+TOGETHER, SHINGLES = 2048, 2000
 _CHUNK = 1 << 15
 _XOR, _ODD = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
 _ODD |= 1
@@ -270,43 +270,67 @@ def _rooted(fps: DataFrame, edges: DataFrame) -> DataFrame:
     return written(fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
 
 
-def _likely(batches, similarity: float):
-    """Pairs ``a, b`` of sorted rows ``key, low, high, part, row, root, n, sketch`` under one key and pair of parts:
-    of different roots, with sizes and sketches that allow the similarity."""
-    enough = (similarity - SLACK) * BANDS * ROWS
+class _Group:
+    """Rows under one band: links between its components are found without looking at pairs within one."""
+
+    def __init__(self, table: pa.Table, similarity: float):
+        self.part, self.low, self.high, self.root, self.fp = (table.column(k).to_numpy() for k in ("part", "low", "high", "root", "fp"))
+        self.sets = [x.values.to_numpy() for x in table.column("shingles")]
+        self.n = np.array([len(x) for x in self.sets])
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(self.n), -1)
+        self.similarity, self.enough = similarity, (similarity - SLACK) * BANDS * ROWS
+
+    def alike(self, at: int, other: np.ndarray) -> np.ndarray:
+        """Those of ``other`` whose whole sets are as similar to that of ``at`` as asked for."""
+        other = other[np.minimum(self.n[other], self.n[at]) >= self.similarity * np.maximum(self.n[other], self.n[at]) - 1e-9]
+        other = other[(self.sketch[other] == self.sketch[at]).sum(axis=1) >= self.enough]
+        if not len(other):
+            return other
+        own, theirs = np.sort(self.sets[at]), np.concatenate([self.sets[k] for k in other])
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        shared = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(self.n[other])[:-1]]))
+        return other[shared >= (self.similarity - 1e-9) * (self.n[other] + self.n[at] - shared)]
+
+    def links(self, own: np.ndarray) -> list[tuple[int, int]]:
+        """Links that join what belongs together among the rows ``own`` of one band and pair of parts."""
+        left, right = own[self.part[own] == self.low[own]], own[self.part[own] == self.high[own]]
+        found, root = [], self.root.copy()
+        for k, at in enumerate(left):
+            # within one part each pair once
+            other = right[k + 1 :] if self.low[at] == self.high[at] else right
+            for x in self.alike(at, other[root[other] != root[at]]):
+                if root[x] != root[at]:
+                    found.append((int(self.fp[at]), int(self.fp[x])))
+                    root[own[root[own] == root[x]]] = root[at]
+        return found
+
+
+def _linked(batches, similarity: float):
+    """Links ``u, v`` between fingerprints of sorted rows ``key, low, high, part, row, root, fp, shingles, sketch``."""
     held: list[pa.RecordBatch] = []
 
-    def pairs(table: pa.Table):
+    def links(table: pa.Table):
         group = np.stack([table.column(k).to_numpy() for k in ("key", "low", "high")], axis=1)
-        part, low, high, row, root, n = (table.column(k).to_numpy() for k in ("part", "low", "high", "row", "root", "n"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(row), -1)
-        found = []
-        for own in np.split(np.arange(len(row)), np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1):
-            left, right = own[part[own] == low[own]], own[part[own] == high[own]]
-            for k, at in enumerate(left):
-                # within one part each pair once
-                other = right[k + 1 :] if low[at] == high[at] else right
-                other = other[(root[other] != root[at]) & (np.minimum(n[other], n[at]) >= similarity * np.maximum(n[other], n[at]))]
-                other = other[(sketch[other] == sketch[at]).sum(axis=1) >= enough]
-                found += [np.stack([np.minimum(row[other], row[at]), np.maximum(row[other], row[at])], axis=1)] if len(other) else []
-        at = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], ["a", "b"])
+        rows, out = _Group(table, similarity), []
+        for own in np.split(np.arange(len(group)), np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1):
+            out += rows.links(own)
+        at = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], ["u", "v"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        same = np.ones(len(table), bool)
-        for k in ("key", "low", "high"):
-            own = table.column(k).to_numpy()
-            same &= own == own[-1]
-        cut = len(table) - int(same.sum())
-        if cut:
-            yield pairs(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
+    for whole in batches:
+        for batch in (whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)):
+            # all but the last group is complete
+            same = np.ones(batch.num_rows, bool)
+            for k in ("key", "low", "high"):
+                own = batch.column(k).to_numpy()
+                same &= own == own[-1]
+            cut = batch.num_rows - int(same.sum())
+            if cut or (held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in ("key", "low", "high"))):
+                yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
     if held:
-        yield pairs(pa.Table.from_batches(held))
+        yield links(pa.Table.from_batches(held))
 
 
 def similar_classes(own: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER, **options) -> DataFrame:
@@ -315,35 +339,35 @@ def similar_classes(own: DataFrame, similarity: float = SIMILARITY, together: in
     Two rows belong together when their fingerprints differ in at most DISTANCE bits or their sets of five-word
     shingles share ``similarity`` (Jaccard), and so on along chains.  Candidates for the latter meet under a band of
     least hashes; whole sets decide.  Under each band all rows are held against two of them; then, where more than one
-    component is left under a band, all pairs between components that their sketches do not rule out.  Bands with more
-    than ``together`` rows are compared in parts of about that size.
+    component is left under a band, rows of different components that their sketches do not rule out are held against
+    one another, and only links that join components leave the band.  Bands with more than ``together`` rows, or very
+    large sets, are compared in parts of about that size.
     """
     spark = own.sparkSession
     fps = written(own.select("fp").distinct(), "fps")
     near = links(fps.select("fp", F.col("fp").alias("node")), **options).distinct()
     heads = written(own.groupBy("sid").agg(F.min("row").alias("head"), F.min("fp").alias("u"), F.count(F.lit(1)).alias("c")), "heads")
     equal = own.select("fp", "sid").join(heads.filter("c > 1").select("sid", "u"), "sid").filter("u <> fp").select("u", F.col("fp").alias("v"))
-    sets = own.filter("n > 0").join(heads.select("head"), F.col("row") == F.col("head"), "left_semi")
-    keyed = sets.select("row", "fp", F.explode("bands").alias("key"))
-    keys = keyed.groupBy(F.col("key").alias("__k")).agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = written(keyed.join(keys, F.col("key") == F.col("__k")).drop("__k"), "met")
+    single = own.filter("n > 0").select("row", "fp", "n", "bands").join(heads.select("head"), F.col("row") == F.col("head"), "left_semi")
+    keyed = single.select("row", "fp", "n", F.explode("bands").alias("key"))
+    keys = keyed.groupBy(F.col("key").alias("__k")).agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("size")).filter("c > 1")
+    met = written(keyed.drop("n").join(keys, F.col("key") == F.col("__k")).drop("__k"), "met")
     star = written(met.select(F.col("low").alias("a"), F.col("row").alias("b")).unionAll(met.select("row", "high")).filter("a <> b").distinct(), "star")
-    alike = _verified(star, sets, similarity)
+    alike = _verified(star, own, similarity)
     edges = written(near.unionAll(equal).unionAll(alike), "edges")
     rooted = _rooted(fps, edges)
-    open_ = met.select("key", "row", "fp", "c").join(rooted, "fp")
+    open_ = met.select("key", "row", "fp", "c", "size").join(rooted, "fp")
     mixed = open_.groupBy(F.col("key").alias("__k")).agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("__k")
-    open_ = open_.join(mixed, F.col("key") == F.col("__k"), "left_semi").select("key", "row", "root", F.ceil(F.col("c") / F.lit(together)).cast("int").alias("parts"))
+    parts = F.ceil(F.greatest(F.col("c") / F.lit(together), F.col("size") / F.lit(together * SHINGLES))).cast("int")
+    open_ = open_.join(mixed, F.col("key") == F.col("__k"), "left_semi").select("key", "row", "fp", "root", parts.alias("parts"))
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     spread = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "row", "root")
-    spread = spread.join(sets.select(F.col("row").alias("__r"), "n", "sketch"), F.col("row") == F.col("__r")).drop("__r")
-    dealt = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
-    likely = dealt.mapInArrow(lambda batches: _likely(batches, similarity), "a long, b long").distinct()
-    rest = written(likely.join(star.select(F.least("a", "b").alias("__a"), F.greatest("a", "b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "rest")
-    late = _verified(rest, sets, similarity)
+    spread = written(spread.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "row", "fp", "root"), "open")
+    needed = own.select(F.col("row").alias("__r"), "shingles", "sketch").join(spread.select(F.col("row").alias("__n")), F.col("__r") == F.col("__n"), "left_semi")
+    dealt = spread.join(needed, F.col("row") == F.col("__r")).drop("__r").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
+    late = written(dealt.mapInArrow(lambda batches: _linked(batches, similarity), "u long, v long").distinct(), "late")
     out = _rooted(fps, edges.unionAll(late)) if late.limit(1).count() else rooted
-    for spent in (met, star, alike, edges, rest, late, heads, fps, *([rooted] if out is not rooted else [])):
+    for spent in (met, star, alike, edges, spread, late, heads, fps, *([rooted] if out is not rooted else [])):
         drop_table(spark, spent)
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tsledger import DataType, queries
 from tsledger.functions import encodings as enc
-from tsledger.operators import annotations, history, intervals, snapshot
+from tsledger.operators import annotations, history, intervals, ranges, snapshot
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +35,10 @@ def test_ranges():
 def test_coalesce_against_sets(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), lo := rnd.randrange(200), lo + rnd.randrange(-2, 8)) for _ in range(60)] + [("c", 1, 2**63 - 1), ("c", 5, 6)]
-    got = sorted(map(tuple, intervals.coalesce(spark.createDataFrame(rows, "device string, lo long, hi long")).select("device", "lo", "hi").collect()))
+    frame = spark.createDataFrame(rows, "device string, lo long, hi long")
+    got = sorted(map(tuple, intervals.coalesce(frame).select("device", "lo", "hi").collect()))
+    for shift in (1, 3, 62):
+        assert sorted(map(tuple, intervals.coalesce(frame, shift=shift).select("device", "lo", "hi").collect())) == got
     want = [("c", 1, 2**63 - 1)]
     for d in "ab":
         on = sorted({x for k, lo, hi in rows if k == d for x in range(lo, hi + 1)})
@@ -55,8 +58,23 @@ def test_many_deletions_by_bucket(spark):
     r = spark.createDataFrame(rows, "device string, t long, seq long, cno long")
     d = spark.createDataFrame(gone, "device string, lo long, hi long, seq long, cno long")
     want = sorted((x[0], x[1], x[2]) for x in rows if not any(x[0] == g[0] and g[1] <= x[1] <= g[2] and g[3] > x[2] for g in gone))
-    for size in (None, 10):
-        assert sorted((x.device, x.t, x.seq) for x in snapshot.visible(r, d, size).collect()) == want
+    for shifts in (None, (1, 11), (5,)):
+        assert sorted((x.device, x.t, x.seq) for x in snapshot.visible(r, d, shifts).collect()) == want
+
+
+def test_ranges_against_all_pairs(spark):
+    """Short, long and open-ended ranges at the ends of 64 bits, under several block sizes."""
+    rnd, low, high = random.Random(1), -(2**63), 2**63 - 1
+    own = [(rnd.choice("ab"), lo := rnd.randrange(-3000, 3000), lo + rnd.choice([0, 1, 3, 7, 15, 40, 600, -1]), rnd.randrange(1000)) for _ in range(100)]
+    own += [("a", low, -2900, 5), ("b", 2900, high, 700), ("a", -500, high, 300), ("a", low, high, 20)]
+    points = {(rnd.choice("abc"), rnd.choice([rnd.randrange(-3300, 3300)] * 9 + [low, high, 2**40])): rnd.randrange(1000) for _ in range(1500)}
+    p = spark.createDataFrame([(*k, v) for k, v in points.items()], "device string, t long, seq long")
+    for shifts, given in ((None, own), ((1, 9, 19, 29, 39, 49, 59, 62), own), ((5, 15), [x for x in own if abs(x[1]) < 2**60 > abs(x[2])])):
+        r = spark.createDataFrame(given, "device string, lo long, hi long, seq long")
+        over = {(d, t): [v for e, lo, hi, v in given if e == d and lo <= t <= hi] for d, t in points}
+        assert sorted(map(tuple, ranges.uncovered(p, r, "seq", shifts).collect())) == sorted((*k, v) for k, v in points.items() if not any(x > v for x in over[k]))
+        assert {(x.device, x.t): x.m for x in ranges.greatest(p, r, "seq", "m", shifts).collect()} == {k: max(v, default=None) for k, v in over.items()}
+        assert {tuple(x) for x in ranges.covered_keys(p.select("device", "t"), r, shifts).collect()} == {k for k, v in over.items() if v}
 
 
 def test_equality_of_floats(spark):

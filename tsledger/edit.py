@@ -17,15 +17,15 @@ from .functions.timeconv import to_raw
 from .operators import snapshot
 from .operators.history import ORIGIN
 from .plans.files import Files
-from .plans.manifest import HEAD, Catalog, CommitInfo, DataFile, Manifest, name_of
+from .plans.lock import Lock
+from .plans.manifest import HEAD, Catalog, CommitInfo, DataFile, Manifest, current, name_of
 from .plans.read import DevicePlan
 from .sources import adapters
 from .sources.batch import ARROW, Batch, Column, convert
 from .store import File, Reader, session
-from .types import DeviceSchema
+from .types import DataType, DeviceSchema
 
 CODECS = {"zstd": "zstd", "lz4": "lz4_raw", "none": "uncompressed", None: "uncompressed"}
-LOCK = "_lock"
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,16 @@ class WriteOptions:
     codec: str | None = "zstd"
     rows_per_block: int = 1_000_000
     zstd_level: int = 3
+    #: Bytes of a block's values before encoding, about; None: only rows are counted.
+    max_block_bytes: int | None = None
 
     def __post_init__(self):
         if self.codec not in CODECS:
             raise InvalidArgumentError(f"no codec {self.codec!r}")
         if not 1 <= self.rows_per_block <= 1 << 31:
             raise InvalidArgumentError("rows_per_block is out of range")
+        if self.max_block_bytes is not None and self.max_block_bytes < 1:
+            raise InvalidArgumentError("max_block_bytes is out of range")
 
 
 @dataclass
@@ -62,8 +66,7 @@ class Writer:
 
     def __init__(self, files: Files, options: WriteOptions):
         self.files, self.spark, self.options = files, files.spark, options
-        if not files.create(LOCK, uuid.uuid4().hex):
-            raise LockedError(f"another writer has {files.root}; if it died, remove its {LOCK}")
+        self.lock = Lock(files)
         self.closed = False
         try:
             self._load()
@@ -101,7 +104,7 @@ class Writer:
     @classmethod
     def open(cls, path: str, options: WriteOptions | None = None, spark: SparkSession | None = None, **kwargs) -> Writer:
         """The files of an unfinished commit are left for :func:`tsledger.recover`; they are of no version."""
-        files = Files(session(spark), str(path))
+        files = current(Files(session(spark), str(path)))
         if not files.exists(HEAD):
             raise NotAStoreError(f"{path} is not a store")
         return cls(files, options or WriteOptions(**kwargs))
@@ -119,7 +122,7 @@ class Writer:
     def close(self) -> None:
         if not self.closed:
             self.closed = True
-            self.files.delete(LOCK)
+            self.lock.release()
 
     def _usable(self) -> None:
         if self.closed:
@@ -450,7 +453,7 @@ class Writer:
             rows = snapshot.newest(rows, ["t"])
         rows = rows.select("t", "seq", *names)
         rows = rows.coalesce(1).sortWithinPartitions("t") if small else rows.repartitionByRange("t").sortWithinPartitions("t")
-        writer = rows.write.option("compression", CODECS[self.options.codec]).option("maxRecordsPerFile", self.options.rows_per_block)
+        writer = rows.write.option("compression", CODECS[self.options.codec]).option("maxRecordsPerFile", self._block_rows(schema, rows))
         if self.options.codec == "zstd":
             writer = writer.option("parquet.compression.codec.zstd.level", str(self.options.zstd_level))
         writer.parquet(self.files.url(folder))
@@ -459,6 +462,17 @@ class Writer:
             raise self._twice(device, again)
         return files
 
+    def _block_rows(self, schema: DeviceSchema, rows: DataFrame) -> int:
+        """Rows of a block under both limits; texts count by their mean length, measured where bytes are limited."""
+        most = self.options.max_block_bytes
+        if most is None:
+            return self.options.rows_per_block
+        width = 8 + sum(t.plain_width for t in schema.types.values() if t is not DataType.STRING)
+        texts = [F.avg(F.coalesce(F.octet_length(c.name), F.lit(0)) + 4) for c in schema.columns if c.type is DataType.STRING]
+        if texts:
+            width += sum(x or 0 for x in rows.agg(*texts).first())
+        return max(1, min(self.options.rows_per_block, int(most / width)))
+
     @staticmethod
     def _check_unique(device: str, frame: DataFrame) -> None:
         again = frame.groupBy("t").count().filter("count > 1").limit(1).collect()

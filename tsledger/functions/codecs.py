@@ -459,14 +459,52 @@ def _crc_table() -> list[int]:
     return out
 
 
-_CRC = _crc_table()
+_CRC = np.array(_crc_table(), np.uint32)
+
+
+def _moved(crcs: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Registers after some zero bytes; ``table`` has the result for each byte at each of the four places."""
+    return table[0][crcs & 255] ^ table[1][crcs >> 8 & 255] ^ table[2][crcs >> 16 & 255] ^ table[3][crcs >> 24]
+
+
+def _doubled(table: np.ndarray) -> np.ndarray:
+    """The table for twice as many zero bytes."""
+    return np.stack([_moved(row, table) for row in table])
+
+
+def _one_zero() -> np.ndarray:
+    own = np.arange(256, dtype=np.uint32)
+    places = [own << np.uint32(8 * k) for k in range(4)]
+    return np.stack([x >> np.uint32(8) ^ _CRC[x & 255] for x in places])
+
+
+_ZERO = [_one_zero()]
 
 
 def crc32c(data: bytes, before: int = 0) -> int:
-    x = before ^ 0xFFFFFFFF
-    for b in data:
-        x = x >> 8 ^ _CRC[(x ^ b) & 255]
-    return x ^ 0xFFFFFFFF
+    """Registers of single bytes are joined in pairs, then pairs of pairs: a register is linear in its input."""
+    n = len(data)
+    if n < 64:
+        x = before ^ 0xFFFFFFFF
+        for b in data:
+            x = x >> 8 ^ int(_CRC[(x ^ b) & 255])
+        return x ^ 0xFFFFFFFF
+    own = np.zeros(1 << (n - 1).bit_length(), np.uint32)
+    own[len(own) - n :] = _CRC[np.frombuffer(data, np.uint8)]  # zeros before do not change a register of zero
+    level = 0
+    while len(own) > 1:
+        if level == len(_ZERO):
+            _ZERO.append(_doubled(_ZERO[-1]))
+        own = _moved(own[0::2], _ZERO[level]) ^ own[1::2]
+        level += 1
+    start, level = np.array([before ^ 0xFFFFFFFF], np.uint32), 0
+    while n >> level:
+        if level == len(_ZERO):
+            _ZERO.append(_doubled(_ZERO[-1]))
+        if n >> level & 1:
+            start = _moved(start, _ZERO[level])
+        level += 1
+    return int(own[0] ^ start[0]) ^ 0xFFFFFFFF
 
 
 def crc32c_column(column):

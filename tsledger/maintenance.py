@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .errors import CorruptedError, LedgerError
+from .errors import CorruptedError, LedgerError, NotAStoreError
 from .operators.history import ORIGIN
 from .plans.files import Files
-from .plans.manifest import HEAD, LOG, Catalog
+from .plans.lock import Lock
+from .plans.manifest import HEAD, LOG, Catalog, Manifest, current, name_of
 from .plans.read import DevicePlan
 from .store import Reader, session
 
@@ -66,7 +68,7 @@ def damaged_files(catalog: Catalog) -> Iterator[tuple[str, str]]:
 def verify(path: str, spark: SparkSession | None = None) -> VerifyReport:
     """Check the chain of commits, the hashes of all files and that every row can be read in its bounds."""
     spark, out = session(spark), VerifyReport()
-    files = Files(spark, str(path))
+    files = current(Files(spark, str(path)))
     try:
         catalog = Catalog.open(files)
     except CorruptedError as e:
@@ -119,18 +121,41 @@ def verify(path: str, spark: SparkSession | None = None) -> VerifyReport:
 
 
 def recover(path: str, force: bool = False, spark: SparkSession | None = None) -> RecoverReport:
-    """Remove what an unfinished commit left, and a dead writer's lock.
+    """Remove what an unfinished commit, a replaced store or a dead writer left; no writer may be at work.
 
-    A damaged or missing manifest, or a damaged data file, in the middle is an error; with ``force`` it and all
-    commits after it go.
+    A last manifest that breaks off is the tail of an unfinished commit and goes.  Any other damaged or missing
+    manifest or data file is an error; with ``force`` it and all commits after it go.
     """
     spark, out = session(spark), RecoverReport()
-    files = Files(spark, str(path))
+    files = current(Files(spark, str(path)))
     if not files.exists(HEAD):
-        from .errors import NotAStoreError
-
         raise NotAStoreError(f"{path} is not a store")
-    from .plans.manifest import Manifest, name_of
+    lock = Lock(files)
+    try:
+        _recover(files, force, out)
+    finally:
+        lock.release()
+    whole = Files(spark, str(path))
+    if whole.root != files.root:
+        for name in whole.names(""):
+            if name != HEAD and whole.url(name) != files.root:
+                sizes = [s for _, s in whole.walk(name)]
+                out.removed_files += len(sizes)
+                out.removed_bytes += sum(sizes)
+                whole.delete(name)
+    return out
+
+
+def _breaks_off(text: str) -> bool:
+    """Whether a manifest's text ends before it is complete."""
+    try:
+        json.loads(text)
+    except ValueError as e:
+        return getattr(e, "pos", 0) >= len(text.rstrip()) - 1 or not text.rstrip().endswith("}")
+    return False
+
+
+def _recover(files: Files, force: bool, out: RecoverReport) -> None:
 
     names = files.names(LOG)
     good, before = 0, None
@@ -146,6 +171,8 @@ def recover(path: str, force: bool = False, spark: SparkSession | None = None) -
             break
         good, before = k, m.hash
     later = [n for n in names if n.endswith(".json") and n > name_of(good).rsplit("/", 1)[1]]
+    if len(later) == 1 and later[0] == name_of(good + 1).rsplit("/", 1)[1] and _breaks_off(files.read(f"{LOG}/{later[0]}")):
+        force = True
     if later and not force:
         raise CorruptedError(f"commit {good + 1} is damaged; force cuts it and all later ones", f"{LOG}/{later[0]}")
     for n in later:
@@ -159,8 +186,6 @@ def recover(path: str, force: bool = False, spark: SparkSession | None = None) -
         files.delete(n)
         out.removed_files += 1
         out.removed_bytes += size
-    files.delete("_lock")
-    return out
 
 
 def compact(source: str, target: str, as_of: int | None = None, overwrite: bool = False, spark: SparkSession | None = None, **options) -> CompactReport:

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgumentError
+from . import ranges
 from .snapshot import as_of, newest, visible
 
 #: What stands before a commit's body when it is hashed.
@@ -26,18 +26,16 @@ def same(a: Column, b: Column, floating: bool) -> Column:
     return equal & (a.isNull() | (a != 0) | (a.cast("string") == b.cast("string")))
 
 
-def _touched(log: DataFrame, deletions: DataFrame | None, start: int, end: int | None) -> DataFrame:
+def _touched(log: DataFrame, deletions: DataFrame | None, start: int, end: int | None, shifts: tuple[int, ...] | None) -> DataFrame:
     """Keys that rows or deletions of the commits in between concern; others cannot differ."""
     between = lambda x: as_of(x, end).filter(F.col("cno") > F.lit(start))
     keys = between(log).select("device", "t")
     if deletions is not None:
-        d = between(deletions).select(F.col("device").alias("__d"), "lo", "hi")
-        hit = (F.col("device") == F.col("__d")) & F.col("t").between(F.col("lo"), F.col("hi"))
-        keys = keys.unionByName(as_of(log, start).select("device", "t").join(d, hit, "left_semi"))
+        keys = keys.unionByName(ranges.covered_keys(as_of(log, start).select("device", "t"), between(deletions).select("device", "lo", "hi"), shifts))
     return keys.distinct()
 
 
-def diff(log: DataFrame, deletions: DataFrame | None, start: int, end: int | None = None, columns: Sequence[str] | None = None, touched_only: bool = True) -> DataFrame:
+def diff(log: DataFrame, deletions: DataFrame | None, start: int, end: int | None = None, columns: Sequence[str] | None = None, touched_only: bool = True, shifts: tuple[int, ...] | None = None) -> DataFrame:
     """``device, t, kind`` (added, removed, changed), and each column before and after, of points that differ.
 
     ``touched_only``: rows of keys that no commit in between concerns are left out before either version is resolved.
@@ -46,11 +44,13 @@ def diff(log: DataFrame, deletions: DataFrame | None, start: int, end: int | Non
         raise InvalidArgumentError("the first version is later than the second")
     values = [c for c in log.columns if c not in ("device", "t", "seq", "cno")] if columns is None else list(columns)
     rows = log.select("device", "t", "seq", "cno", *values)
+    if deletions is not None and shifts is None:
+        shifts = ranges.shifts_of(deletions)
     if touched_only:
-        rows = rows.join(_touched(log, deletions, start, end), ["device", "t"], "left_semi")
+        rows = rows.join(_touched(log, deletions, start, end, shifts), ["device", "t"], "left_semi")
 
     def at(version: int | None, side: str) -> DataFrame:
-        kept = visible(as_of(rows, version), None if deletions is None else as_of(deletions, version))
+        kept = visible(as_of(rows, version), None if deletions is None else as_of(deletions, version), shifts)
         return newest(kept).select("device", "t", F.lit(True).alias(side), *(F.col(c).alias(f"{side}_{c}") for c in values))
 
     both = at(start, "before").join(at(end, "after"), ["device", "t"], "full_outer")
@@ -95,18 +95,21 @@ def commit_hash(body: bytes) -> str:
     return hashlib.sha256(DOMAIN + body).hexdigest()
 
 
-def chain_faults(commits: DataFrame, origin: str = ORIGIN) -> DataFrame:
-    """Commits whose number or previous hash does not continue the one before.
+def hash_column(body: Column) -> Column:
+    """:func:`commit_hash` of a column of texts."""
+    return F.sha2(F.concat(F.lit(DOMAIN), F.encode(body, "UTF-8")), 256)
 
-    The log of commits is in the manifests, one row each, so a single ordered window is enough.
-    """
-    order = W.orderBy("cno")
-    before, number = F.lag("hash", 1, origin).over(order), F.lag("cno", 1, 0).over(order)
-    return commits.withColumn("__h", before).withColumn("__n", number).filter((F.col("prev_hash") != F.col("__h")) | (F.col("cno") != F.col("__n") + 1)).drop("__h", "__n")
 
+def chain_faults(commits: DataFrame, origin: str = ORIGIN) -> DataFrame:
+    """Commits (``cno, prev_hash, hash`` and, where there is one, ``body``) whose previous hash is not that of the commit
+    one number before, that have no such commit, or whose hash is not that of their body.
 
-def fold_hash(rows: DataFrame, key: str, order: str, text: Column) -> DataFrame:
-    """``key, hash``: a running SHA-256 over the ordered texts of each key, as a chain of commits forms it."""
-    own = rows.select(F.col(key), F.struct(F.col(order).alias("o"), text.alias("x")).alias("__s"))
-    fold = F.aggregate(F.array_sort(F.collect_list("__s")), F.lit(""), lambda acc, s: F.sha2(F.concat(acc, s["x"]), 256))
-    return own.groupBy(key).agg(fold.alias("hash"))
+    Each commit meets the one before by number, so a long chain is checked in as many tasks as there are.
+    """
+    before = commits.select((F.col("cno") + 1).alias("__n"), F.col("hash").alias("__h"))
+    both = commits.join(before, F.col("cno") == F.col("__n"), "left")
+    expected = F.when(F.col("cno") == 1, F.lit(origin)).otherwise(F.col("__h"))
+    wrong = ~F.col("prev_hash").eqNullSafe(expected)
+    if "body" in commits.columns:
+        wrong = wrong | ~F.col("hash").eqNullSafe(hash_column(F.col("body")))
+    return both.filter(wrong).drop("__n", "__h")

@@ -14,10 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgumentError
+from . import ranges
 
 LOW, HIGH = -(2**63), 2**63 - 1
-#: Deletions that may be sent to all tasks; more are dealt by buckets of time.
-BROADCAST_DELETIONS = 50_000
 
 
 def bounds(start: int | None, end: int | None) -> tuple[int, int] | None:
@@ -49,25 +48,15 @@ def as_of(log: DataFrame, version: int | None) -> DataFrame:
     return log.filter(F.col("cno") <= F.lit(version))
 
 
-def visible(rows: DataFrame, deletions: DataFrame | None, buckets_of: int | None = None) -> DataFrame:
+def visible(rows: DataFrame, deletions: DataFrame | None, shifts: tuple[int, ...] | None = None) -> DataFrame:
     """Rows that no later deletion covers.
 
-    Few deletions go to all tasks, by Spark's own choice under its threshold.  With ``buckets_of`` (a span of time)
-    deletions are copied to each bucket they touch and met by (device, bucket), for logs with very many short ones;
-    those longer than 64 buckets are met separately.
+    Deletions are met by (device, block of time), see :mod:`.ranges`; ``shifts`` are the blocks' sizes, taken from the
+    deletions' lengths where they are not given.
     """
     if deletions is None:
         return rows
-    d = deletions.select(F.col("device").alias("__d"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("seq").alias("__seq"))
-    hit = (F.col("device") == F.col("__d")) & F.col("t").between(F.col("__lo"), F.col("__hi")) & (F.col("__seq") > F.col("seq"))
-    if buckets_of is None:
-        return rows.join(d, hit, "left_anti")
-    bucket = lambda c: F.floor(c / F.lit(buckets_of)).cast("long")
-    d = d.withColumn("__from", bucket(F.col("__lo"))).withColumn("__to", bucket(F.col("__hi")))
-    short = F.col("__to") - F.col("__from") < 64
-    near = d.filter(short).withColumn("__b", F.explode(F.sequence("__from", "__to")))
-    out = rows.join(near, hit & (bucket(F.col("t")) == F.col("__b")), "left_anti")
-    return out.join(d.filter(~short), hit, "left_anti")
+    return ranges.uncovered(rows, deletions.select("device", "lo", "hi", "seq"), "seq", shifts)
 
 
 def newest(rows: DataFrame, keys: Sequence[str] = ("device", "t")) -> DataFrame:
@@ -76,7 +65,7 @@ def newest(rows: DataFrame, keys: Sequence[str] = ("device", "t")) -> DataFrame:
     return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
-def snapshot(log: DataFrame, deletions: DataFrame | None = None, version: int | None = None, columns: Sequence[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+def snapshot(log: DataFrame, deletions: DataFrame | None = None, version: int | None = None, columns: Sequence[str] | None = None, start: int | None = None, end: int | None = None, shifts: tuple[int, ...] | None = None) -> DataFrame:
     """``device, t`` and the value columns, in the order asked for, as of a version and within a closed range.
 
     The range and the version reach the scan; columns that are not asked for are not read.
@@ -89,17 +78,17 @@ def snapshot(log: DataFrame, deletions: DataFrame | None = None, version: int |
         gone = as_of(deletions, version)
         if own is not None and (start is not None or end is not None):
             gone = gone.filter((F.col("hi") >= F.lit(own[0])) & (F.col("lo") <= F.lit(own[1])))
-    kept = visible(rows.select("device", "t", "seq", *values), gone)
+    kept = visible(rows.select("device", "t", "seq", *values), gone, shifts)
     return newest(kept).select("device", "t", *values)
 
 
-def keys(log: DataFrame, deletions: DataFrame | None = None, version: int | None = None, start: int | None = None, end: int | None = None, buckets_of: int | None = None) -> DataFrame:
+def keys(log: DataFrame, deletions: DataFrame | None = None, version: int | None = None, start: int | None = None, end: int | None = None, shifts: tuple[int, ...] | None = None) -> DataFrame:
     """The (device, t) that have a point; no winner is sought and no value is read."""
     rows = as_of(log, version).filter(in_range(F.col("t"), start, end)).select("device", "t", "seq")
     if deletions is not None:
         # any row newer than all deletions keeps the point, so the newest is enough; combined before the shuffle
         rows = rows.groupBy("device", "t").agg(F.max("seq").alias("seq"))
-        rows = visible(rows, as_of(deletions, version), buckets_of)
+        rows = visible(rows, as_of(deletions, version), shifts)
     return rows.select("device", "t").distinct()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -102,8 +103,24 @@ class Files:
             raise
         return True
 
+    def replace(self, name: str, text: str) -> None:
+        """Put a whole file in place of another at once: readers see the old one or the new one."""
+        draft = f"{name}.{uuid.uuid4().hex}.tmp"
+        self.create(draft, text)
+        target = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(name).toUri(), self.conf)
+        over = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        target.rename(self.path(draft), self.path(name), over)
+
     def rename(self, old: str, new: str) -> bool:
         return self.fs.rename(self.path(old), self.path(new))
 
+    def touch(self, name: str) -> None:
+        self.fs.setTimes(self.path(name), int(time.time() * 1000), -1)
+
+    def age(self, name: str) -> float:
+        """Seconds since a file was last touched."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.path(name), True)

@@ -7,6 +7,7 @@ rows are Parquet files that it lists with their bounds and hashes.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import json
@@ -23,6 +24,18 @@ LOG = "_log"
 HEAD = "_store.json"
 
 
+def current(files: Files) -> Files:
+    """The folder that holds a store's commits: its own, or that of the generation that has replaced it."""
+    if files.exists(HEAD):
+        try:
+            generation = json.loads(files.read(HEAD)).get("generation")
+        except ValueError:
+            generation = None
+        if generation:
+            return Files(files.spark, files.url(generation))
+    return files
+
+
 def name_of(number: int) -> str:
     return f"{LOG}/{number:012d}.json"
 
@@ -143,6 +156,8 @@ class Catalog:
             raise CorruptedError(f"not a store's head: {e}", HEAD) from e
         if head.get("layout", 0) > LAYOUT:
             raise UnsupportedVersionError(f"{files.root}: layout {head['layout']}")
+        if "generation" in head:
+            return cls.open(Files(files.spark, files.url(head["generation"])))
         names = files.names(LOG)
         own = [n for n in names if n.endswith(".json")]
         manifests = [Manifest.from_text(text, f"{LOG}/{n}") for n, text in zip(own, files.read_all(LOG, own))]
@@ -171,6 +186,11 @@ class Catalog:
     def last_note(self) -> int:
         return max((m.last_note for m in self.manifests), default=0)
 
+    def commit_of(self, seq: int) -> int | None:
+        """The number of the commit that a place of the log belongs to: the first that ends beyond it."""
+        at = bisect.bisect_right([m.next_seq for m in self.manifests], seq)
+        return self.manifests[at].number if at < self.head and seq >= 1 else None
+
     def upto(self, version: int | None) -> list[Manifest]:
         """Commits of a version: 0 is the empty store, None the head."""
         if version is None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import snapshot
+from ..operators import ranges, snapshot
 from ..types import DeviceSchema
 from .manifest import Catalog, DataFile
 
@@ -59,12 +59,15 @@ class DevicePlan:
     def spark(self):
         return self.catalog.files.spark
 
-    def _scan(self, files: Sequence[DataFile], columns: Sequence[str]) -> DataFrame:
+    def _scan(self, files: Sequence[DataFile], columns: Sequence[str], source: bool = False) -> DataFrame:
+        """One scan of the files; ``source``: with ``__file``, the name of each row's file."""
         types = self.schema.types
         shape = T.StructType([T.StructField("t", T.LongType()), T.StructField("seq", T.LongType()), *(T.StructField(c, types[c].spark) for c in columns)])
         if not files:
             return self.spark.createDataFrame([], shape).withColumn("device", F.lit(self.schema.name))
         rows = self.spark.read.schema(shape).parquet(*[self.catalog.files.url(f.path) for f in files])
+        if source:
+            rows = rows.select("*", F.col("_metadata.file_name").alias("__file"))
         return rows.filter(snapshot.in_range(F.col("t"), self.start, self.end)).withColumn("device", F.lit(self.schema.name))
 
     def _gone(self, files: Sequence[DataFile]) -> DataFrame | None:
@@ -75,12 +78,11 @@ class DevicePlan:
         rows = [tuple(d) for d in self.deletions if d[2] >= low and d[1] <= high]
         return self.spark.createDataFrame(rows, DELETIONS) if rows else None
 
-    def _buckets(self) -> int | None:
-        """A span of time to deal very many deletions by; few are left to Spark's broadcast threshold."""
-        if len(self.deletions) <= snapshot.BROADCAST_DELETIONS:
-            return None
-        span = max(f.t_max for f in self.files) - min(f.t_min for f in self.files) if self.files else 0
-        return max(1, span // len(self.deletions))
+    @property
+    def shifts(self) -> tuple[int, ...] | None:
+        """Sizes of the blocks of time that rows and deletions meet by."""
+        lengths = sorted(d[2] - d[1] for d in self.deletions)
+        return ranges.shifts_for(lengths[len(lengths) // 2], lengths[-1]) if lengths else None
 
     def rows(self, columns: Sequence[str]) -> DataFrame:
         """``t`` and the columns, of every point, in no order."""
@@ -88,29 +90,29 @@ class DevicePlan:
         parts = []
         for files, merge in ((alone, False), (shared, True)):
             if files or (merge and not alone):
-                kept = snapshot.visible(self._scan(files, columns), self._gone(files), self._buckets())
+                kept = snapshot.visible(self._scan(files, columns), self._gone(files), self.shifts)
                 parts.append((snapshot.newest(kept) if merge and files else kept).select("t", *columns))
         return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
     def times(self) -> DataFrame:
         """``t`` of every point; no value is read."""
         alone, shared = split_files(self.files)
-        one = snapshot.visible(self._scan(alone, []), self._gone(alone), self._buckets()).select("t")
+        one = snapshot.visible(self._scan(alone, []), self._gone(alone), self.shifts).select("t")
         gone = self._gone(shared)
         many = self._scan(shared, []).withColumn("cno", F.lit(0))
-        return one.unionAll(snapshot.keys(many, gone, buckets_of=self._buckets()).select("t")) if shared else one
+        return one.unionAll(snapshot.keys(many, gone, shifts=self.shifts).select("t")) if shared else one
 
     def log(self, columns: Sequence[str]) -> DataFrame:
-        """Every row written, with ``seq`` and ``cno``, for differences of versions."""
+        """Every row written, with ``seq`` and ``cno``, for differences of versions.
+
+        One scan, however many commits there are; a row's commit is that of its file, whose name is unique.
+        """
+        if not self.files:
+            return self._scan([], columns).withColumn("cno", F.lit(0).cast("long"))
         numbers = {f.path: m.number for m in self.catalog.manifests for f in m.files}
-        by_commit: dict[int, list[DataFile]] = {}
-        for f in self.files:
-            by_commit.setdefault(numbers[f.path], []).append(f)
-        parts = [self._scan(files, columns).withColumn("cno", F.lit(n).cast("long")) for n, files in sorted(by_commit.items())]
-        out = parts[0] if parts else self._scan([], columns).withColumn("cno", F.lit(0).cast("long"))
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out
+        by_file = self.spark.createDataFrame([(f.path.rsplit("/", 1)[-1], numbers[f.path]) for f in self.files], "__name string, cno long")
+        rows = self._scan(self.files, columns, True)
+        return rows.join(by_file, F.col("__file") == F.col("__name")).drop("__file", "__name")
 
     def deletion_rows(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(d) for d in self.deletions], DELETIONS)

@@ -150,7 +150,7 @@ def top_limit(spark, sf_dir):
 
 @query("deletions_by_bucket", f"WITH {LOG}, {_snap(None)} SELECT * FROM snap")
 def deletions_by_bucket(spark, sf_dir):
-    kept = snapshot.visible(events_log(spark, sf_dir), events_deletions(spark, sf_dir), buckets_of=24)
+    kept = snapshot.visible(events_log(spark, sf_dir), events_deletions(spark, sf_dir), shifts=(4, 14))
     return snapshot.newest(kept).select("device", "t", "value", "user_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -10,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import InvalidArgumentError, NotFinalizedError, UnknownColumnError, UnknownDeviceError
+from .errors import InvalidArgumentError, NotAStoreError, NotFinalizedError, UnknownColumnError, UnknownDeviceError
 from .functions.timeconv import to_datetime, to_nanos, to_raw
 from .operators import annotations as notes
 from .operators import history, snapshot
 from .plans.files import Files
-from .plans.manifest import Catalog, CommitInfo
+from .plans.manifest import HEAD, LAYOUT, Catalog, CommitInfo
 from .plans.read import DevicePlan, note_rows
 from .sources.batch import Batch
 from .types import DeviceSchema
@@ -29,6 +30,15 @@ def session(spark: SparkSession | None = None) -> SparkSession:
     return spark or SparkSession.getActiveSession() or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _as_streams(batches):
+    """Each batch as one row: the bytes of an Arrow stream."""
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["stream"])
+
+
 @dataclass(frozen=True)
 class Annotation:
     id: int
@@ -106,26 +116,24 @@ class Query:
         return Batch.from_arrow(self.dataframe().orderBy("t").toArrow(), self.result_schema)
 
     def batches(self, rows: int = BATCH_ROWS) -> Iterator[Batch]:
-        """Batches in the order of time; one partition at a time is on the driver."""
-        held, own = [], self.dataframe().orderBy("t")
-        names = own.columns
+        """Batches in the order of time; one partition at a time is on the driver, as Arrow batches."""
+        from .sources.batch import ARROW
 
-        def batch() -> Batch:
-            columns = list(zip(*held))
-            table = pa.table([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
-            return Batch.from_arrow(table, self.result_schema)
+        types, own = self.schema.types, self.dataframe().orderBy("t")
+        shape = pa.schema([("t", pa.int64()), *((n, ARROW[types[n]]) for n in own.columns[1:])])
+        held: list[pa.RecordBatch] = []
 
-        from .sources.batch import ARROW
+        def upto(n: int) -> Batch:
+            table = pa.Table.from_batches(held, held[0].schema).cast(shape)
+            held[:] = table.slice(n).to_batches()
+            return Batch.from_arrow(table.slice(0, n), self.result_schema)
 
-        types = self.schema.types
-        shape = pa.schema([("t", pa.int64()), *((n, ARROW[types[n]]) for n in names[1:])])
-        for row in own.toLocalIterator(prefetchPartitions=True):
-            held.append(tuple(row))
-            if len(held) >= rows:
-                yield batch()
-                held.clear()
-        if held:
-            yield batch()
+        for row in own.mapInArrow(_as_streams, "stream binary").toLocalIterator(prefetchPartitions=True):
+            held += pa.ipc.open_stream(bytes(row.stream)).read_all().to_batches()
+            while sum(b.num_rows for b in held) >= rows:
+                yield upto(rows)
+        if sum(b.num_rows for b in held):
+            yield upto(rows)
 
     def count(self) -> int:
         return self.plan().times().count()
@@ -184,6 +192,10 @@ class Reader:
     def commits(self) -> list[CommitInfo]:
         return [m.info() for m in self.catalog.manifests]
 
+    def commit_of(self, seq: int) -> int | None:
+        """The commit that wrote a place of the log; None beyond the last one."""
+        return self.catalog.commit_of(seq)
+
     def commit(self, number: int) -> CommitInfo:
         if number < 1:
             from .errors import UnknownCommitError
@@ -223,7 +235,7 @@ class Reader:
         plan = DevicePlan(self.catalog, schema, last, low, high)
         plan.files = [f for f in plan.files if any(f.t_min <= b and a <= f.t_max for a, b in spans)]
         values = schema.column_names if columns is None else list(columns)
-        return history.diff(plan.log(values), plan.deletion_rows(), start, last, values).drop("device")
+        return history.diff(plan.log(values), plan.deletion_rows() if plan.deletions else None, start, last, values, shifts=plan.shifts).drop("device")
 
     def annotation_diff_frame(self, start: int, end: int | None = None) -> DataFrame:
         return notes.diff(note_rows(self.catalog, end), start)
@@ -468,8 +480,8 @@ def create(path: str, *devices: DeviceSchema, metadata=None, overwrite: bool = F
 def write(path: str, data, device: str, time_column: str | None = None, unit=None, mode: str = "w", message=None, author=None, order_by: str | None = None, spark=None, **options) -> CommitInfo | None:
     """Write a table to a device in one commit.
 
-    ``mode``: ``w`` replaces the store as a whole (beside it first, then by renaming), ``x`` makes a new one, ``a``
-    adds to it.
+    ``mode``: ``w`` replaces the store as a whole, at once: a new store is written beside the old one's commits, then the
+    head is pointed to it; ``x`` makes a new one, ``a`` adds to it.
     """
     from .edit import Writer
 
@@ -477,21 +489,29 @@ def write(path: str, data, device: str, time_column: str | None = None, unit=Non
         raise InvalidArgumentError(f"no mode {mode!r}")
     spark = session(spark)
     files = Files(spark, path)
-    if mode == "x" and files.exists():
+    there = files.exists()
+    if mode == "x" and there:
         raise FileExistsError(path)
-    add = mode == "a" and files.exists()
-    target = str(path) if add else f"{str(path).rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    add = mode == "a" and there
+    if there and not add and not files.exists(HEAD):
+        raise NotAStoreError(f"{path} is not a store")
+    generation = f"generation-{uuid.uuid4().hex}"
+    target = str(path) if add else files.url(generation) if there else f"{str(path).rstrip('/')}.{uuid.uuid4().hex}.tmp"
     made = Files(spark, target)
     try:
         with (Writer.open if add else Writer.create)(target, spark=spark, **options) as w:
             w.write_table(device, data, time_column=time_column, unit=unit, order_by=order_by, create=True)
             out = w.commit(message, author)
+        if there and not add:
+            files.replace(HEAD, json.dumps({"layout": LAYOUT, "generation": generation}))
+        elif not add and not made.fs.rename(made.path(), files.path()):
+            raise FileExistsError(path)
     except BaseException:
         if not add:
             made.delete()
         raise
-    if not add:
-        if files.exists():
-            files.delete()
-        made.fs.rename(made.path(), files.path())
+    if there and not add:
+        for name in files.names(""):
+            if name not in (HEAD, generation):
+                files.delete(name)
     return out

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tsledger import DataType, queries
+from tsledger import DataType, queries, store_queries, value_queries  # noqa: F401
 from tsledger.functions import encodings as enc
 from tsledger.operators import annotations, history, intervals, ranges, snapshot
 

@@ -1,7 +1,8 @@
 """Queries over the driver's tables, one per operator family, each beside its SQL.
 
 ``events`` serves as a device log: the event type is the device, the hour is the time, ``event_id`` orders the log and
-its remainder by four is the commit; a deletion of three hours stands in commit 3 for every 197th event.
+its remainder by four is the commit; a deletion of three hours stands in commit 3 for every grave error, on the device
+that its user stands for.
 """
 
 from __future__ import annotations
@@ -38,39 +39,43 @@ def events_log(spark, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("device"), _hour("ts").alias("t"), (cno * SPAN + F.col("event_id")).alias("seq"), cno.alias("cno"), "value", "user_id")
 
 
+DEVICES = ("click", "error", "purchase", "signup", "view")
+
+
 def events_deletions(spark, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").filter("event_id % 197 = 0")
-    t = _hour("ts")
-    return e.select(F.col("event_type").alias("device"), t.alias("lo"), (t + 2).alias("hi"), F.lit(3 * SPAN + SPAN // 2).alias("seq"), F.lit(3).cast("long").alias("cno"))
+    e = _table(spark, sf_dir, "events").filter("event_type = 'error' AND value > 150")
+    t, device = _hour("ts"), F.element_at(F.array(*map(F.lit, DEVICES)), (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
+    return e.select(device.alias("device"), t.alias("lo"), (t + 2).alias("hi"), F.lit(3 * SPAN + SPAN // 2).alias("seq"), F.lit(3).cast("long").alias("cno"))
 
 
 def events_notes(spark, sf_dir: str) -> DataFrame:
-    """Operations on annotations: every 97th event puts one, every 388th of them is removed in commit 4."""
-    e = _table(spark, sf_dir, "events").filter("event_id % 97 = 0")
-    t = _hour("ts")
-    number = F.floor(F.col("event_id") / 97).cast("long") + 1
-    put = e.select(number.alias("id"), F.lit("put").alias("op"), F.col("event_type").alias("device"), t.alias("lo"), (t + 12).alias("hi"), F.concat(F.lit("L"), F.pmod("event_id", F.lit(7)).cast("string")).alias("label"), F.lit(None).cast("string").alias("note"), (SPAN * 2 + F.col("event_id")).alias("seq"), F.lit(2).cast("long").alias("cno"))
-    gone = put.filter("id % 4 = 0").select("id", F.lit("remove").alias("op"), "device", "lo", "hi", "label", "note", (F.col("seq") + 2 * SPAN).alias("seq"), F.lit(4).cast("long").alias("cno"))
-    changed = put.filter("id % 5 = 0").select("id", "op", "device", "lo", (F.col("hi") + 1).alias("hi"), F.lit("changed").alias("label"), F.lit("later").alias("note"), (F.col("seq") + SPAN).alias("seq"), F.lit(3).cast("long").alias("cno"))
-    return put.unionByName(changed).unionByName(gone)
+    """Operations on annotations: every larger purchase puts one, on the device that its user stands for; in commit 3
+    the largest are changed, in commit 4 those in between are removed."""
+    e = _table(spark, sf_dir, "events").filter("event_type = 'purchase' AND value > 60")
+    t, device = _hour("ts"), F.element_at(F.array(*map(F.lit, DEVICES)), (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
+    put = e.select("value", (F.col("event_id") + 1).alias("id"), F.lit("put").alias("op"), device.alias("device"), t.alias("lo"), (t + 12).alias("hi"), F.concat(F.lit("L"), F.pmod("event_id", F.lit(7)).cast("string")).alias("label"), F.lit(None).cast("string").alias("note"), (SPAN * 2 + F.col("event_id")).alias("seq"), F.lit(2).cast("long").alias("cno"))
+    gone = put.filter("value BETWEEN 100 AND 150").select("id", F.lit("remove").alias("op"), "device", "lo", "hi", "label", "note", (F.col("seq") + 2 * SPAN).alias("seq"), F.lit(4).cast("long").alias("cno"))
+    changed = put.filter("value > 150").select("id", "op", "device", "lo", (F.col("hi") + 1).alias("hi"), F.lit("changed").alias("label"), F.lit("later").alias("note"), (F.col("seq") + SPAN).alias("seq"), F.lit(3).cast("long").alias("cno"))
+    return put.drop("value").unionByName(changed).unionByName(gone)
 
 
+_DEVICE = "['click', 'error', 'purchase', 'signup', 'view'][user_id % 5 + 1]"
 LOG = f"""log AS (
   SELECT event_type AS device, cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) AS t, 1 + event_id % 4 AS cno,
          (1 + event_id % 4) * {SPAN} + event_id AS seq, value, user_id FROM events
 ), tomb AS (
-  SELECT event_type AS device, cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) AS lo, cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) + 2 AS hi,
-         3 AS cno, 3 * {SPAN} + {SPAN // 2} AS seq FROM events WHERE event_id % 197 = 0
+  SELECT {_DEVICE} AS device, cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) AS lo, cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) + 2 AS hi,
+         3 AS cno, 3 * {SPAN} + {SPAN // 2} AS seq FROM events WHERE event_type = 'error' AND value > 150
 )"""
 
 NOTES = f"""put AS (
-  SELECT cast(event_id // 97 AS bigint) + 1 AS id, 'put' AS op, event_type AS device, cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) AS lo,
+  SELECT event_id + 1 AS id, 'put' AS op, {_DEVICE} AS device, cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) AS lo,
          cast(floor(epoch_us(ts) / {HOUR}.0) AS bigint) + 12 AS hi, 'L' || cast(event_id % 7 AS varchar) AS label, cast(NULL AS varchar) AS note,
-         2 * {SPAN} + event_id AS seq, cast(2 AS bigint) AS cno FROM events WHERE event_id % 97 = 0
+         2 * {SPAN} + event_id AS seq, cast(2 AS bigint) AS cno, value FROM events WHERE event_type = 'purchase' AND value > 60
 ), ops AS (
-  SELECT * FROM put
-  UNION ALL SELECT id, op, device, lo, hi + 1, 'changed', 'later', seq + {SPAN}, 3 FROM put WHERE id % 5 = 0
-  UNION ALL SELECT id, 'remove', device, lo, hi, label, note, seq + 2 * {SPAN}, 4 FROM put WHERE id % 4 = 0
+  SELECT * EXCLUDE (value) FROM put
+  UNION ALL SELECT id, op, device, lo, hi + 1, 'changed', 'later', seq + {SPAN}, 3 FROM put WHERE value > 150
+  UNION ALL SELECT id, 'remove', device, lo, hi, label, note, seq + 2 * {SPAN}, 4 FROM put WHERE value BETWEEN 100 AND 150
 )"""
 
 
@@ -242,9 +247,30 @@ def annotation_diff(spark, sf_dir):
     return annotations.diff(events_notes(spark, sf_dir), 2)
 
 
-@query("annotation_faults", f"WITH {NOTES} SELECT * FROM ops WHERE lo > hi OR id < 1")
+@query(
+    "annotation_faults",
+    f"""WITH {NOTES}, bad AS (
+  SELECT * FROM ops
+  UNION ALL SELECT event_id + 1, 'remove', event_type, 1, 2, NULL, NULL, 5 * {SPAN} + event_id, 5 FROM events WHERE event_type = 'signup' AND value > 150
+  UNION ALL SELECT event_id + 1, 'put', event_type, 2, 1, 'x', NULL, 6 * {SPAN} + event_id, 5 FROM events WHERE event_type = 'view' AND value > 150
+  UNION ALL SELECT id, 'remove', device, lo, hi, label, note, seq + 5 * {SPAN}, 5 FROM put WHERE value BETWEEN 100 AND 150
+  UNION ALL SELECT -event_id, 'put', event_type, 1, 2, 'x', NULL, 7 * {SPAN} + event_id, 5 FROM events WHERE event_type = 'click' AND value > 150
+), b AS (SELECT *, lag(op) OVER (PARTITION BY id ORDER BY seq) AS before FROM bad)
+  SELECT * EXCLUDE (before) FROM b WHERE (op = 'remove' AND before IS DISTINCT FROM 'put') OR lo > hi OR id < 1""",
+)
 def annotation_faults(spark, sf_dir):
-    return annotations.faults(events_notes(spark, sf_dir))
+    """The log of annotations with removals of ids that were never there, or not any more, inverted ones and bad ids."""
+    notes, e = events_notes(spark, sf_dir), _table(spark, sf_dir, "events").filter("value > 150")
+
+    def more(kind, number, op, lo, hi, label, step):
+        own = F.col("event_id")
+        return e.filter(F.col("event_type") == kind).select(number(own).alias("id"), F.lit(op).alias("op"), F.col("event_type").alias("device"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"), F.lit(label).cast("string").alias("label"), F.lit(None).cast("string").alias("note"), (F.lit(step * SPAN) + own).alias("seq"), F.lit(5).cast("long").alias("cno"))
+
+    again = notes.filter("op = 'remove'").withColumn("seq", F.col("seq") + 3 * SPAN).withColumn("cno", F.lit(5).cast("long"))
+    parts = [more("signup", lambda x: x + 1, "remove", 1, 2, None, 5), more("view", lambda x: x + 1, "put", 2, 1, "x", 6), more("click", lambda x: -x, "put", 1, 2, "x", 7), again]
+    for p in parts:
+        notes = notes.unionByName(p)
+    return annotations.faults(notes)
 
 
 _META = "WITH m AS (SELECT o_orderkey % 5 + 1 AS cno, o_orderkey AS seq, o_orderstatus AS a, o_orderpriority AS b FROM orders), l AS (SELECT arg_max(a, seq) AS a, arg_max(b, seq) AS b FROM m WHERE cno <= 3)"
@@ -257,13 +283,27 @@ def metadata_asof(spark, sf_dir):
     return history.metadata_as_of(o.select((F.col("o_orderkey") % 5 + 1).alias("cno"), F.col("o_orderkey").alias("seq"), entries.alias("entries")), 3)
 
 
+_CHAIN = f"""c AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS cno, cast(o_orderkey AS varchar) || o_orderstatus AS body, o_orderpriority FROM orders),
+  h AS (SELECT *, sha256({history.DOMAIN.decode()[:-1]!r} || chr(10) || body) AS good FROM c),
+  g AS (SELECT *, coalesce(lag(good) OVER (ORDER BY cno), '{history.ORIGIN}') AS prev FROM h),
+  t AS (SELECT cno, body, CASE WHEN o_orderpriority = '1-URGENT' THEN upper(good) ELSE good END AS hash, prev AS prev_hash FROM g)"""
+
+
 @query(
-    "chain_check",
-    """SELECT o_custkey, list_reduce(list_prepend('', list(cast(o_orderkey AS varchar) || o_orderstatus ORDER BY o_orderkey)),
-  lambda acc, x: sha256(acc || x)) AS hash FROM orders GROUP BY o_custkey""",
+    "commit_chain",
+    f"""WITH {_CHAIN}, b AS (SELECT *, coalesce(lag(hash) OVER (ORDER BY cno), '{history.ORIGIN}') AS expected, sha256({history.DOMAIN.decode()[:-1]!r} || chr(10) || body) AS own FROM t)
+  SELECT cno, body, hash, prev_hash FROM b WHERE prev_hash <> expected OR hash <> own""",
 )
-def chain_check(spark, sf_dir):
-    return history.fold_hash(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), "o_orderstatus"))
+def commit_chain(spark, sf_dir):
+    """A chain of a commit per order in which those of one priority have had their hashes changed afterwards."""
+    o = _table(spark, sf_dir, "orders")
+    body = F.concat(F.col("o_orderkey").cast("string"), "o_orderstatus")
+    number = F.row_number().over(W.orderBy("o_orderkey")).cast("long")
+    good = o.select(number.alias("cno"), body.alias("body"), "o_orderpriority").withColumn("good", history.hash_column(F.col("body")))
+    before = good.select((F.col("cno") + 1).alias("__n"), F.col("good").alias("prev"))
+    chain = good.join(before, F.col("cno") == F.col("__n"), "left")
+    spoilt = F.when(F.col("o_orderpriority") == "1-URGENT", F.upper("good")).otherwise(F.col("good"))
+    return history.chain_faults(chain.select("cno", "body", spoilt.alias("hash"), F.coalesce("prev", F.lit(history.ORIGIN)).alias("prev_hash")))
 
 
 # ---- editing: the versions that edits of the log give
@@ -314,55 +354,6 @@ def device_multi(spark, sf_dir):
     return snapshot.keys(log).groupBy("device").agg(F.count(F.lit(1)).alias("points"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
-# ---- storage: the log of one device as commits of a store
-
-
-def click_store(spark, sf_dir: str):
-    """A store with the clicks of :func:`events_log` in four commits; the deletions follow the rows of the third."""
-    from . import store
-    from .edit import Writer, device_schema
-    from .plans.files import scratch
-
-    log = events_log(spark, sf_dir).filter("device = 'click'").select("t", "value", "user_id", "seq", "cno")
-    gone = events_deletions(spark, sf_dir).filter("device = 'click'")
-    path = scratch(spark, "clicks")
-    with Writer.create(path, spark=spark) as w:
-        w.create_device(device_schema("click", "s", {"value": "double", "user_id": "long"}, time_name="t"))
-        for n in range(1, 5):
-            w.write_table("click", log.filter(F.col("cno") == n).drop("cno"), time_column="t", unit="s", order_by="seq")
-            if n == 3:
-                for r in gone.select("lo", "hi").toLocalIterator():
-                    w.delete_range("click", r.lo, r.hi)
-            w.commit(f"part {n}", time_ns=n)
-    return store.open(path, spark)
-
-
-@query("store_roundtrip", f"WITH {LOG}, {_snap(3)} SELECT t, value, user_id FROM snap WHERE device = 'click'")
-def store_roundtrip(spark, sf_dir):
-    return click_store(spark, sf_dir).dataframe("click", as_of=3)
-
-
-@query("store_diff", f"WITH {_DIFF} SELECT t, kind, before_value, after_value, before_user_id, after_user_id FROM diff WHERE device = 'click'")
-def store_diff(spark, sf_dir):
-    return click_store(spark, sf_dir).reader().diff_frame("click", 2, 4)
-
-
-@query("compact_snapshot", f"WITH {LOG}, {_snap(None)} SELECT t, value, user_id FROM snap WHERE device = 'click'")
-def compact_snapshot(spark, sf_dir):
-    f = click_store(spark, sf_dir)
-    return f.compact(f"{f.path}-compact").dataframe("click")
-
-
-@query(
-    "store_commits",
-    f"""WITH {LOG} SELECT cast(l.cno AS bigint) AS number, count(DISTINCT l.t) AS rows_written,
-  CASE WHEN l.cno = 3 THEN (SELECT count(*) FROM tomb WHERE device = 'click') ELSE 0 END AS ranges_deleted FROM log l WHERE device = 'click' GROUP BY l.cno""",
-)
-def store_commits(spark, sf_dir):
-    rows = [(c.number, c.changes.rows_written, c.changes.ranges_deleted) for c in click_store(spark, sf_dir).commits()]
-    return spark.createDataFrame(rows, "number long, rows_written long, ranges_deleted long")
-
-
 @query(
     "infer_csv_types",
     """SELECT 'o_orderkey' AS column_name, 'int64' AS type UNION ALL SELECT 'o_totalprice', 'float64' UNION ALL SELECT 'o_orderstatus', 'string'
@@ -468,8 +459,8 @@ def segment_stats(spark, sf_dir):
 
 @query("xor_sizes")
 def xor_sizes(spark, sf_dir):
-    """Sequential windows; tested against a bit-by-bit version."""
-    rows = encodings.blocks(_table(spark, sf_dir, "events"), ["event_type"], "event_id", 4096)
+    """Sequential windows over spans of the log's order; tested against a bit-by-bit version."""
+    rows = encodings.time_blocks(_table(spark, sf_dir, "events"), "event_id", 20_000)
     return encodings.xor_size(rows, ["event_type", "block"], "event_id", "value")
 
 

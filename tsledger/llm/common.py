@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a table that may be sent to all tasks; its rows are counted first.
+BROADCAST_BYTES = 64 << 20
 #: Entries of each of the two generations of a worker's tables.
 KEPT = 400_000
 
@@ -38,13 +40,14 @@ def table_path(spark: SparkSession, name: str) -> str:
 MADE: list[str] = []
 
 
-def sweep(spark: SparkSession, since: int = 0) -> None:
-    """Remove the tables written after the first ``since``: once a result that reads them is stored, they are of no use."""
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove tables that nothing will read any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in MADE[since:]:
+    for name in list(paths):
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    del MADE[since:]
+        if name in MADE:
+            MADE.remove(name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -72,7 +75,7 @@ def _sweep_last() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and MADE:
         try:
-            sweep(spark)
+            remove(spark, MADE)
         except Exception:  # the session may have ended before its process
             MADE.clear()
 
@@ -94,6 +97,23 @@ def located(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return written(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+def small(df: DataFrame, width: int) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows of ``width`` bytes stay within BROADCAST_BYTES; larger
+    ones are shuffled."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df.hint("shuffle_hash")
+
+
+def without(df: DataFrame, gone: DataFrame, digest) -> DataFrame:
+    """The rows of ``df`` that are not in ``gone`` (``id, digest``, a written table); ``digest`` is the column of ``df``
+    to compare.  Texts are shuffled only where ``gone`` is large."""
+    own, key = free_name(df, "__digest"), free_name(df, "__key")
+    left = df.withColumn(own, digest).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), own))
+    right = small(gone.select(F.struct(F.xxhash64("id", "digest").alias("key"), "id", "digest").alias("__gone")).select("__gone"), 80)
+    g = lambda c: F.col("__gone")[c]
+    same = (F.col(key) == g("key")) & (F.col(own) == g("digest")) & F.col("doc_id").cast("long").eqNullSafe(g("id"))
+    return left.join(right, same, "left_anti").drop(key, own)
+
+
 def require(df: DataFrame, columns: Iterable[str]) -> None:
     """Raise ValueError at once when a needed column is missing."""
     missing = [c for c in columns if c not in df.columns]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, require, text_of, written
+from .common import SPACE_CLASS, drop_table, free_name, require, text_of, without, written
 
 #: Distinct historical digests that one perfect hash holds, about; bounds the memory of a task.
 BUCKET_DIGESTS = 32_768
@@ -96,11 +96,14 @@ class PerfectHash:
         return cls(levels)
 
 
+def _digest():
+    return F.unhex(F.sha2(F.regexp_replace(text_of(), SPACE_CLASS, " "), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """A row per document: ``doc_id``, ``digest`` (32 bytes of SHA-256 of the normalised text) and ``row``, a locator."""
     require(docs, ("doc_id", "text"))
-    normal = F.regexp_replace(text_of(), SPACE_CLASS, " ")
-    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(normal, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.col("doc_id").cast("long"), _digest().alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
 def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
@@ -179,17 +182,19 @@ def exact_dedup(docs: DataFrame, bucket_digests: int = BUCKET_DIGESTS) -> DataFr
 def keep_first(docs: DataFrame, bucket_digests: int = BUCKET_DIGESTS) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Texts cross one shuffle, joined by id and digest with the winners' side hashed; rows that repeat id and text are
-    made one only where such rows exist.
+    Rows that repeat another's text under another id go by id and digest, so texts are shuffled only where those are
+    very many; rows that repeat id and text are made one only where such rows exist.
     """
     rows = written(digests(docs), "digests")
-    winners = rows.join(classes(rows, bucket_digests), "digest").filter("row = win_row").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__won"))
-    digest = F.unhex(F.sha2(F.regexp_replace(text_of(), SPACE_CLASS, " "), 256))
-    own = docs.withColumn("__digest", digest)
-    out = own.join(winners.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__won")), "left_semi")
-    if rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
-        out = out.withColumn("__first", F.struct(F.col("doc_id"), F.col("__digest"))).dropDuplicates(["__first"]).drop("__first")
-    return out.drop("__digest")
+    gone = rows.join(classes(rows, bucket_digests), "digest").filter(~F.col("doc_id").eqNullSafe(F.col("win_id")))
+    gone = written(gone.select(F.col("doc_id").alias("id"), "digest").distinct(), "gone")
+    again = rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
+    drop_table(docs.sparkSession, rows)
+    out = without(docs, gone, _digest())
+    if not again:
+        return out
+    text, one = free_name(docs, "__digest"), free_name(docs, "__first")
+    return out.withColumn(text, _digest()).withColumn(one, F.struct("doc_id", text)).dropDuplicates([one]).drop(one, text)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, free_name, require, text_of, written
+from .common import drop_table, free_name, require, small, text_of, without, written
 from .components import components
 
 SHINGLE = 3
@@ -251,16 +251,23 @@ def marks(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), _digest().alias("digest"), F.col("text").cast("string")).mapInArrow(run, MARKS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _chosen(own: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``row`` and the columns of the wanted ``rows`` (a written table); sets are shuffled only where they are many."""
+    side = small(rows.select(F.col("row").alias("__r")), 8)
+    return own.select("row", *columns).join(side, F.col("row") == F.col("__r"), "left_semi")
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
     """Links ``u, v`` between fingerprints of the pairs (``a, b``: rows) whose whole sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("__r")).unionAll(pairs.select("b")).distinct()
-    own = written(sets.join(needed, F.col("row") == F.col("__r"), "left_semi").select("row", "fp", "shingles"), "sets")
+    needed = written(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct(), "needed")
+    own = written(_chosen(marked, needed, "fp", "shingles"), "sets")
     a, b = (own.select(F.col("row").alias(f"{x}_row"), F.col("fp").alias(f"{x}_fp"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_row")).join(b, F.col("b") == F.col("b_row"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     alike = shared >= F.lit(similarity - 1e-9) * (F.size("a_set") + F.size("b_set") - shared)
     out = written(both.filter(alike).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")).filter("u <> v").distinct(), "alike")
-    drop_table(sets.sparkSession, own)
+    for spent in (needed, own):
+        drop_table(marked.sparkSession, spent)
     return out
 
 
@@ -363,11 +370,12 @@ def similar_classes(own: DataFrame, similarity: float = SIMILARITY, together: in
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     spread = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = written(spread.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "row", "fp", "root"), "open")
-    needed = own.select(F.col("row").alias("__r"), "shingles", "sketch").join(spread.select(F.col("row").alias("__n")), F.col("__r") == F.col("__n"), "left_semi")
-    dealt = spread.join(needed, F.col("row") == F.col("__r")).drop("__r").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
+    needed = written(spread.select("row").distinct(), "needed")
+    sets = _chosen(own, needed, "shingles", "sketch").withColumnRenamed("row", "__s")
+    dealt = spread.join(sets, F.col("row") == F.col("__s")).drop("__s").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
     late = written(dealt.mapInArrow(lambda batches: _linked(batches, similarity), "u long, v long").distinct(), "late")
     out = _rooted(fps, edges.unionAll(late)) if late.limit(1).count() else rooted
-    for spent in (met, star, alike, edges, spread, late, heads, fps, *([rooted] if out is not rooted else [])):
+    for spent in (met, star, alike, edges, spread, needed, late, heads, fps, *([rooted] if out is not rooted else [])):
         drop_table(spark, spent)
     return out
 
@@ -382,15 +390,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, **options) -> Data
     classes = similar_classes(own, similarity, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("win")
     slim = own.select("doc_id", "digest", "fp")
-    stay = slim.join(classes, "fp").groupBy("root").agg(first)
-    text, won, one = free_name(docs, "__digest"), free_name(docs, "__won"), free_name(docs, "__first")
-    stay = stay.select(F.struct(F.col("win.doc_id").alias("id"), F.col("win.digest").alias("digest")).alias(won))
-    out = docs.withColumn(text, _digest())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(won)["id"]) & (F.col(text) == F.col(won)["digest"])
-    out = out.join(stay.hint("shuffle_hash"), same, "left_semi")
-    if slim.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
-        out = out.withColumn(one, F.struct("doc_id", text)).dropDuplicates([one]).drop(one)
-    return out.drop(text)
+    rooted = slim.join(classes, "fp")
+    stay = rooted.groupBy(F.col("root").alias("__r")).agg(first)
+    won = F.col("doc_id").eqNullSafe(F.col("win.doc_id")) & (F.col("digest") == F.col("win.digest"))
+    gone = rooted.join(stay, F.col("root") == F.col("__r")).filter(~won).select(F.col("doc_id").alias("id"), "digest").distinct()
+    gone = written(gone, "gone")
+    again = slim.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
+    for spent in (own, classes):
+        drop_table(docs.sparkSession, spent)
+    out = without(docs, gone, _digest())
+    if not again:
+        return out
+    text, one = free_name(docs, "__digest"), free_name(docs, "__first")
+    return out.withColumn(text, _digest()).withColumn(one, F.struct("doc_id", text)).dropDuplicates([one]).drop(one, text)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +17,30 @@ DELETIONS = T.StructType([T.StructField("device", T.StringType()), *(T.StructFie
 NOTES = T.StructType([T.StructField("id", T.LongType()), T.StructField("op", T.StringType()), T.StructField("device", T.StringType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("label", T.StringType()), T.StructField("note", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("cno", T.LongType())])
 
 
-def split_files(files: Sequence[DataFile]) -> tuple[list[DataFile], list[DataFile]]:
-    """Files whose span of time no other one touches, and the others.
+#: Spans of time in a plan, at most; nearer ones are joined, which only sends more rows through the merge.
+SPANS = 64
 
-    Rows of the first need no merge: a time stamp occurs once in a file, so they are read without a shuffle.
+
+def contested(files: Sequence[DataFile]) -> list[tuple[int, int]]:
+    """Spans of time that two files or more have rows in, by their bounds.
+
+    Rows elsewhere need no merge: a time stamp occurs once in a file, so they are read without a shuffle.
     """
-    alone, shared, cluster, reach = [], [], [], None
+    out: list[list[int]] = []
+    reach = None
     for f in sorted(files, key=lambda f: (f.t_min, f.t_max)):
-        if cluster and f.t_min > reach:
-            (alone if len(cluster) == 1 else shared).extend(cluster)
-            cluster = []
-        reach = f.t_max if not cluster else max(reach, f.t_max)
-        cluster.append(f)
-    (alone if len(cluster) == 1 else shared).extend(cluster)
-    return alone, shared
+        if reach is not None and f.t_min <= reach:
+            high = min(f.t_max, reach)
+            if out and f.t_min <= out[-1][1] + 1:
+                out[-1][1] = max(out[-1][1], high)
+            else:
+                out.append([f.t_min, high])
+        reach = f.t_max if reach is None else max(reach, f.t_max)
+    if len(out) > SPANS:
+        gaps = sorted(range(1, len(out)), key=lambda k: out[k][0] - out[k - 1][1], reverse=True)
+        cuts = [0, *sorted(gaps[: SPANS - 1]), len(out)]
+        out = [[out[a][0], out[b - 1][1]] for a, b in zip(cuts, cuts[1:])]
+    return [tuple(x) for x in out]
 
 
 def merged_deletions(rows: list[list]) -> list[list]:
@@ -84,23 +95,26 @@ class DevicePlan:
         lengths = sorted(d[2] - d[1] for d in self.deletions)
         return ranges.shifts_for(lengths[len(lengths) // 2], lengths[-1]) if lengths else None
 
+    def _parts(self, columns: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+        """Visible rows that need no merge, and those that do, if there are any."""
+        spans = contested(self.files)
+        rows, gone = self._scan(self.files, columns), self._gone(self.files)
+        if not spans:
+            return snapshot.visible(rows, gone, self.shifts), None
+        inside = reduce(lambda a, b: a | b, (F.col("t").between(low, high) for low, high in spans))
+        many = [f for f in self.files if any(f.t_min <= high and low <= f.t_max for low, high in spans)]
+        return snapshot.visible(rows.filter(~inside), gone, self.shifts), snapshot.visible(self._scan(many, columns).filter(inside), self._gone(many), self.shifts)
+
     def rows(self, columns: Sequence[str]) -> DataFrame:
         """``t`` and the columns, of every point, in no order."""
-        alone, shared = split_files(self.files)
-        parts = []
-        for files, merge in ((alone, False), (shared, True)):
-            if files or (merge and not alone):
-                kept = snapshot.visible(self._scan(files, columns), self._gone(files), self.shifts)
-                parts.append((snapshot.newest(kept) if merge and files else kept).select("t", *columns))
-        return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+        alone, shared = self._parts(columns)
+        alone = alone.select("t", *columns)
+        return alone if shared is None else alone.unionAll(snapshot.newest(shared).select("t", *columns))
 
     def times(self) -> DataFrame:
         """``t`` of every point; no value is read."""
-        alone, shared = split_files(self.files)
-        one = snapshot.visible(self._scan(alone, []), self._gone(alone), self.shifts).select("t")
-        gone = self._gone(shared)
-        many = self._scan(shared, []).withColumn("cno", F.lit(0))
-        return one.unionAll(snapshot.keys(many, gone, shifts=self.shifts).select("t")) if shared else one
+        alone, shared = self._parts([])
+        return alone.select("t") if shared is None else alone.select("t").unionAll(shared.select("t").distinct())
 
     def log(self, columns: Sequence[str]) -> DataFrame:
         """Every row written, with ``seq`` and ``cno``, for differences of versions.

@@ -107,6 +107,36 @@ def check_packing(spark, folder, before, after):
     assert max(fill.values()) <= 1024
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """No unrelated row is lost in a filtering stage, and no source overdrawn, where ids are null or repeat."""
+    rnd = random.Random(21)
+    text = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(n))
+    rows = [(d, text(60 + k), "en", s, k, "x") for k, (d, s) in enumerate([(None, "a"), (None, "b"), (None, None), (7, "a"), (7, "a"), (7, "b"), (7, "c"), (8, "c"), (0, "a")])]
+    copies = [(None, rows[0][1], "en", "a", 1, "x"), (5, rows[1][1], "en", "b", 1, "x"), (7, rows[3][1], "en", "a", 1, "x"), (9, rows[7][1] + " end", "en", "c", 1, "x"), (None, None, "en", "a", 1, "x"), (3, "", "en", "a", 1, "x")]
+    docs = spark.createDataFrame(rows + copies, DOCS + ", __ROW string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    exact = stages["exact_dedup"](spark, docs, "")
+    assert exact.columns == docs.columns
+    exact.write.parquet(str(tmp_path / "exact"))
+    exact = spark.read.parquet(str(tmp_path / "exact"))
+    kept = [(r.doc_id, r.text) for r in exact.collect()]
+    assert Counter(t or "" for _, t in kept) == Counter({r[1] for r in rows} | {rows[7][1] + " end", ""})
+    assert (5, rows[1][1]) in kept and (3, "") in kept
+    near = stages["near_dedup"](spark, exact, "")
+    near.write.parquet(str(tmp_path / "near"))
+    near = spark.read.parquet(str(tmp_path / "near"))
+    assert Counter(r.text for r in near.collect()) == Counter({r[1] for r in rows} | {""})
+    before, after = [r.asDict() for r in near.collect()], [r.asDict() for r in stages["mixing"](spark, near, "").collect()]
+    source, got = defaultdict(int), defaultdict(int)
+    for r in before:
+        source[r["source"]] += len(words(r["text"]))
+    for r in after:
+        got[r["source"]] += len(words(r["text"]))
+    want = water(source)
+    assert all(abs(got[s] - want[s]) <= 0.5 + 1e-6 for s in source)
+    assert {r["text"] for r in after if not words(r["text"])} == {""}
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     assert out and {"doc_id", "sequence_id", "ids_crc32"} <= set(out[0].asDict())

@@ -95,6 +95,27 @@ def test_exact_dedup_keeps_rows(docs, none):
     assert rows_of(exact_dedup.exact_dedup(none)) == [] == rows_of(exact_dedup.keep_first(none))
 
 
+def test_batches_against_a_stored_index(spark, docs, none, tmp_path):
+    """A history and two later batches: repeats of the history, of the batch itself, new texts."""
+    own = corpus()
+    history, batch = own[::2], own[1::2] + own[:3]
+    path = exact_dedup.store_index(spark.createDataFrame(history, SCHEMA), str(tmp_path / "index"), 8)
+    of = lambda rows: {t: ([r[0] for r in rows if normal(r[1]) == t]) for t in {normal(r[1]) for r in rows}}
+    old, new = of(history), of(batch)
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    got = rows_of(exact_dedup.dedup_batch(spark.createDataFrame(batch, SCHEMA).repartition(3), path))
+    name = {hashlib.sha256(t.encode()).hexdigest(): t for t in new}
+    assert len(got) == len(batch)
+    for r in got:
+        t = name[r["text_sha256"]]
+        assert r["group_size"] == len(old.get(t, [])) + len(new[t]) and r["keep_id"] == least(old.get(t) or new[t])
+        assert not (r["kept"] and t in old)
+    assert Counter(name[r["text_sha256"]] for r in got if r["kept"]) == Counter(t for t in new if t not in old)
+    empty = exact_dedup.store_index(none, str(tmp_path / "empty"))
+    assert sum(r["kept"] for r in rows_of(exact_dedup.dedup_batch(spark.createDataFrame(batch, SCHEMA), empty))) == len(new)
+    assert rows_of(exact_dedup.dedup_batch(none, path)) == []
+
+
 # ---- tokens and packing
 
 
@@ -408,6 +429,37 @@ def test_quality(spark, docs, none):
     assert rows_of(quality.classify(none, labels)) == [] and rows_of(quality.classify(docs, labels.filter("false")))[0]["score"] == 0.5
 
 
+def test_statistics_against_plain_counts():
+    """Each statistic recounted one character, word and line at a time."""
+    import math
+    from string import ascii_lowercase, ascii_uppercase, digits
+
+    def slow(text):
+        space, marks = set(" \t\n\v\f\r"), set(".,;:'\"-?()")
+        chars = [chr(b) for b in (text or "").encode()]
+        solid = [c for c in chars if c not in space]
+        symbol = lambda c: c not in ascii_lowercase + ascii_uppercase + digits and c not in space and ord(c) < 128 and c not in marks
+        ws = "".join(" " if c in space else c for c in chars).split(" ")
+        ws = [w for w in ws if w]
+        lines = [x for x in "".join(chars).split("\n") if any(c not in space for c in x)]
+        odds = lambda k, n: math.log((k + 0.5) / (max(n - k, 0) + 0.5))
+        times = lambda xs: max((xs.count(x) for x in xs), default=0)
+        share = [solid.count(c) / len(solid) for c in set(solid)]
+        pairs = list(zip(ws, ws[1:]))
+        return [
+            math.log(1 + len(ws)), math.log(1 + len(solid) / max(len(ws), 1)), odds(sum(c in ascii_uppercase for c in chars), sum(c in ascii_uppercase + ascii_lowercase for c in chars)),
+            odds(sum(c in digits for c in chars), len(solid)), odds(sum(map(symbol, chars)), len(solid)), odds(sum(c in marks for c in chars), len(solid)),
+            -sum(p * math.log(p) for p in share), odds(len(set(ws)), len(ws)), odds(times(ws), len(ws)), odds(times(pairs), len(ws)),
+            odds(len(lines) - len(set(lines)), len(lines)), math.log(1 + len(ws) / max(len(lines), 1)), odds(sum(len(w) <= 2 for w in ws), len(ws)), odds(sum(len(w) >= 14 for w in ws), len(ws)),
+            odds(sum(symbol(w[-1]) for w in ws), len(ws)), odds(sum(w[0] in ascii_uppercase for w in ws), len(ws)),
+        ]
+
+    rnd = random.Random(2)
+    texts = [None, "", " \n", "One", "a a a\na a a\n\nB$ c# 12"] + ["".join(rnd.choice("abcXYZ019 .,;$#\n\té") for _ in range(rnd.randrange(300))) for _ in range(60)]
+    for t in texts:
+        assert quality.statistics(t) == pytest.approx(slow(t)), t
+
+
 def test_discriminant_equals_the_formula():
     rnd = np.random.default_rng(2)
     d = len(quality.NAMES)

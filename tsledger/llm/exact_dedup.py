@@ -6,8 +6,11 @@ full 32-byte digest and the locator of the winning row.  Digests of the *incomin
 of their prefix; a hit counts only when all 32 bytes of the slot agree.  Hits are repeats of the slot's winner,
 digests that are not members form groups of their own.
 
-Defined cases: a null text is the empty text; a null ``doc_id`` loses to every other id; of rows that repeat id and
-text one stays; an empty table gives an empty result; further input columns are ignored.
+:func:`store_index` keeps the hashes of a history and :func:`dedup_batch` looks later batches up in them.
+
+Defined cases: a null text is the empty text; a very long text is hashed whole; a null ``doc_id`` loses to every other id; of rows that repeat id and
+text one stays; an empty table gives an empty result; further input
+columns, whatever their names, are ignored, and kept by :func:`keep_first`.
 """
 
 from __future__ import annotations
@@ -197,6 +200,30 @@ def keep_first(docs: DataFrame, bucket_digests: int = BUCKET_DIGESTS) -> DataFra
     return out.withColumn(text, _digest()).withColumn(one, F.struct("doc_id", text)).dropDuplicates([one]).drop(one, text)
 
 
+def store_index(docs: DataFrame, path: str, bucket_digests: int = BUCKET_DIGESTS) -> str:
+    """Build the perfect hashes of a whole history and write them to ``path``, for batches to come."""
+    rows = written(digests(docs), "digests")
+    buckets = max(1, math.ceil(rows.count() / bucket_digests))
+    build_index(rows, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(path)
+    drop_table(docs.sparkSession, rows)
+    return path
+
+
+def dedup_batch(docs: DataFrame, path: str) -> DataFrame:
+    """A row per document of a batch, ``doc_id, keep_id, group_size, kept, text_sha256``, against a stored index.
+
+    A text that the history has is a repeat of the history's winner and not kept; of others the batch's own winner
+    stays.  ``group_size`` counts both.  An index of an empty history has no rows, and all texts are new.
+    """
+    index = docs.sparkSession.read.parquet(path)
+    first = index.select("buckets").first()
+    rows = written(digests(docs), "digests")
+    found = look_up(index.drop("buckets"), rows, first.buckets if first else 1)
+    both = rows.join(found, "digest")
+    kept = ~F.col("member") & (F.col("row") == F.col("win_row"))
+    return both.select("doc_id", F.col("win_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of ``documents``."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -10,9 +10,10 @@ Labels are learnt from a bounded sample: of the labelled rows outside the held-o
 hashes, ``TRAIN_ROWS`` at most.  Scoring covers every row and whole text.  No input of a score is a label, language,
 source or id.
 
-Defined cases: a null text is empty; an empty text has a score like any other; labels that are null or without a
+Defined cases: a null text is empty; a very long text is measured whole; an empty text has a score like any other; labels that are null or without a
 document are not used; with fewer than two labelled rows of either class the score is the smoothed share of class 1;
-a repeated ``doc_id`` is scored row by row; an empty table gives an empty result.
+a repeated ``doc_id`` is scored row by row; an empty table gives an empty result; further columns, whatever their
+names, are ignored, and kept by :func:`keep_good`.
 """
 
 from __future__ import annotations

@@ -243,7 +243,7 @@ def test_many_deletions(spark, tmp_path):
     f = ts.open(path, spark)
     want = f.read()
     assert len(want) == 200 - len([t for t in range(200) if t % 7 < 2]) + 1
-    assert f.query().plan().shifts and f.count() == len(want)
+    assert f.query().plan().shifts is not None and f.count() == len(want)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         plan = f.dataframe()._jdf.queryExecution().executedPlan().toString()

@@ -297,7 +297,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(fps):
+def slow_components(fps, distance=2):
     parent = {f: f for f in fps}
 
     def root(x):
@@ -308,7 +308,7 @@ def slow_components(fps):
     own = list(fps)
     for i, a in enumerate(own):
         for b in own[i + 1 :]:
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= distance:
                 parent[root(a)] = root(b)
     return {f: root(f) for f in own}
 
@@ -327,8 +327,8 @@ def test_simhash(docs, heavy):
         assert r["component_id"] == least[of[int(r["fingerprint"], 16)]]
 
 
-@pytest.mark.parametrize("heavy", [2, 4096])
-def test_chains_of_fingerprints(spark, heavy):
+@pytest.mark.parametrize("heavy, distance", [(2, 2), (4096, 2), (3, 4), (3, 1), (4096, 0)])
+def test_chains_of_fingerprints(spark, heavy, distance):
     """Chains whose ends are far apart, dense balls, lone ones; null ids."""
     rnd = random.Random(3)
     fps = []
@@ -343,8 +343,8 @@ def test_chains_of_fingerprints(spark, heavy):
     rnd.shuffle(fps)
     signed = lambda f: f - 2**64 if f >= 2**63 else f
     prints = spark.createDataFrame([(k, signed(f)) for k, f in enumerate(fps)] + [(None, signed(fps[0])), (500, signed(fps[0]))], "doc_id long, fp long")
-    got = {r.fp % 2**64: r.component for r in simhash.near_classes(prints, heavy=heavy).collect()}
-    of, least = slow_components(fps), {}
+    got = {r.fp % 2**64: r.component for r in simhash.near_classes(prints, distance, heavy=heavy).collect()}
+    of, least = slow_components(fps, distance), {}
     for k, f in enumerate(fps):
         least[of[f]] = min(least.get(of[f], k), k)
     assert got == {f: least[of[f]] for f in fps}

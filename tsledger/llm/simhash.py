@@ -6,6 +6,7 @@ fingerprints: copies meet in one row before anything is compared.  Under a key,
 and only a spanning set of links leaves the group, never all pairs.  A key with more than ``heavy`` distinct
 fingerprints is not compared in one task: each of its fingerprints meets the others through the 65 patterns that
 differ from it in at most one bit, which finds exactly the pairs at distance two or less, whatever the group's size.
+For distances other than two such a key's fingerprints are compared in parts, every two parts in a task of their own.
 
 The pipeline's stage (:func:`keep_one`) links these pairs and those whose five-word shingles share 0.8.  Fingerprints
 cannot find the latter, whose 64 bits differ in ten places and more; bands of least hashes find them, and their whole
@@ -33,8 +34,6 @@ from .components import components
 
 SHINGLE = 3
 DISTANCE = 2
-#: Blocks of a fingerprint; keys are the choices of all but DISTANCE of them: 6 keys of 32 bits.
-BLOCKS = 4
 #: Distinct fingerprints under one key that a task compares directly.
 HEAVY = 4096
 #: Similarity of five-word shingles that the pipeline's stage links at.
@@ -110,7 +109,7 @@ def _block(k: int, blocks: int):
     return low, high
 
 
-def block_keys(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def block_keys(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
     """``fps`` with a row for each key: ``choice`` (which blocks) and ``key`` (their bits)."""
     keys = []
     for k, own in enumerate(combinations(range(blocks), blocks - distance)):
@@ -163,27 +162,37 @@ def _groups(batches, distance: int):
         yield flush(held[0])
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, heavy: int = HEAVY) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """Links ``u, v`` that connect distinct fingerprints (``node, fp``) wherever some pair is near enough.
 
-    Keys under which only one fingerprint stands are dropped by counts that are combined before the shuffle.
+    ``blocks``: two more than ``distance`` unless given.  Keys under which only one fingerprint stands are dropped by
+    counts that are combined before the shuffle.
     """
-    if distance != 2:
-        raise ValueError("the exact way for heavy keys is made for distance 2")
+    blocks = distance + 2 if blocks is None else blocks
+    if not 0 <= distance < blocks <= 64:
+        raise ValueError("a fingerprint has more blocks than its distance, and 64 at most")
     keyed = block_keys(fps, distance, blocks)
     counts = keyed.groupBy(F.col("choice").alias("__c"), F.col("key").alias("__k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(keyed.join(counts, (F.col("choice") == F.col("__c")) & (F.col("key") == F.col("__k"))).select("choice", "key", "node", "fp", "n"), "blocks")
-    light = met.filter(F.col("n") <= heavy).select("choice", "key", "node", "fp").repartition("choice", "key").sortWithinPartitions("choice", "key", "node")
-    out = light.mapInArrow(lambda batches: _groups(batches, distance), "u long, v long")
-    many = met.filter(F.col("n") > heavy).select("node", "fp").distinct()
+    light = met.filter(F.col("n") <= heavy).select("choice", "key", "node", "fp")
+    many = met.filter(F.col("n") > heavy)
+    if distance != 2:
+        # every two parts of a heavy key meet in a group of their own
+        parts = F.ceil(F.col("n") / F.lit(heavy)).cast("int")
+        own = many.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pair = F.xxhash64("choice", "key", F.least("part", "other"), F.greatest("part", "other"))
+        light = light.unionAll(own.select(F.lit(-1).alias("choice"), pair.alias("key"), "node", "fp"))
+    out = light.repartition("choice", "key").sortWithinPartitions("choice", "key", "node").mapInArrow(lambda batches: _groups(batches, distance), "u long, v long")
+    if distance != 2:
+        return out
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long") for b in range(64)])
-    hubs = many.select("node", "fp", F.explode(flips).alias("flip")).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
+    hubs = many.select("node", "fp").distinct().select("node", "fp", F.explode(flips).alias("flip")).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     first = hubs.groupBy(F.col("hub").alias("__h")).agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     through = hubs.join(first, F.col("hub") == F.col("__h")).filter("u <> node").select("u", F.col("node").alias("v"))
     return out.unionAll(through)
 
 
-def near_classes(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, heavy: int = HEAVY) -> DataFrame:
+def near_classes(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """``fp, root, component`` for every distinct fingerprint of ``prints`` (``doc_id, fp``, a written table).
 
     A fingerprint is its own node, so rows without an id stay apart.  ``root`` is the component's least fingerprint,

@@ -4,8 +4,8 @@ Bounded-space online best fit: at most ``open_bins`` bins are open; a bitset has
 open bin has, so the tightest bin that still fits is one bit scan away.  When one bin too many is open, the fullest
 closes.  Every input partition packs its own documents while it tokenises them, without a shuffle.  Bins that are
 still open when a partition ends are opened again: their pieces, and only those, are dealt by hash into groups of
-bounded size, where they arrive in the order of their hashes and are packed once more.  Every piece is placed when it
-arrives; none is held back.
+bounded size and packed once more, where they arrive in runs by hash, the longest of a run first.  Every piece is placed
+when it arrives; none is held back.
 
 Token identifiers are those of the vocabulary file's library.  A text is parted at its spaces; identifiers of chunks
 and of pattern pieces are kept in bounded tables per worker.  A text in which white space other than single spaces
@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, require, written
+from .common import Recent, claim, require, written
 
 LENGTH = 1024
 END = 2
 OPEN_BINS = 2048
 #: Pieces that one task of the second round packs, about.
 GROUP_PIECES = 20_000
+#: Pieces of a run of the second round, about: fewer than the bins that may be open.
+RUN_PIECES = 2000
 VOCABULARY = "byte_bpe_50k.json"
 _ODD_SPACE = re.compile(r"[^\S\n]|\n\n|\A\n|\n\Z")
 
@@ -187,6 +189,7 @@ def pack_partitions(docs: DataFrame, vocabulary: str | None = None, length: int
     def run(batches):
         from .tokens import vocabulary_path
 
+        claim("packing", tokens.cache_clear)
         of, packer, out = tokens(vocabulary or vocabulary_path(VOCABULARY)).ids, BestFit(length, open_bins), _Rows(PIECES, False)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -201,8 +204,7 @@ def pack_partitions(docs: DataFrame, vocabulary: str | None = None, length: int
 
 
 def repack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Second round: pieces of open bins are packed anew in groups, in the order of their hashes; the others stay
-    where they are.
+    """Second round: pieces of open bins are packed anew in groups; the others stay where they are.
 
     ``pieces``: a written table of :func:`pack_partitions`; other columns pass through.
     """
@@ -211,7 +213,9 @@ def repack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS,
     n = left.count()
     at = kept.index("length")
     key = F.xxhash64("doc_id", "piece", "length")
-    groups = left.select(*kept).repartition(max(1, math.ceil(n / group_pieces)), key).sortWithinPartitions(key, "doc_id", "piece", "length")
+    many = max(1, math.ceil(n / group_pieces))
+    run = F.pmod(F.shiftright(key, 16), F.lit(max(1, math.ceil(n / many / RUN_PIECES))))
+    groups = left.select(*kept).repartition(many, key).sortWithinPartitions(run, F.col("length").desc(), key, "doc_id", "piece")
     schema = groups.schema
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "sequence_id long", "offset long", "open boolean"])
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,6 +144,22 @@ def beside(df: DataFrame, new: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in own]
 
 
+#: In a worker: what frees each operator's tables.
+_TABLES: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str | None = None, clear: Callable[[], None] | None = None) -> None:
+    """At the start of a task: free the tables that other operators have left in this worker, so that it never holds
+    those of two."""
+    freed = [_TABLES.pop(other)() for other in list(_TABLES) if other != name]
+    if clear is not None:
+        _TABLES[name] = clear
+    if freed:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Recent(dict):
     """A table of two generations: when the young one is full the old one is dropped, entries still in use move up."""
 

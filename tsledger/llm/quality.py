@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import claim, require
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -180,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("y", "text", "doc_id")
 
     def run(batches):
+        claim()
         for batch in batches:
             x = _vectors(batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["y", "doc_id", "x"])
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Model, extra=()) -> DataFrame:
     """``doc_id, score`` and the ``extra`` columns of every row.  No shuffle; the model is a few kilobytes."""
 
     def run(batches):
+        claim()
         for batch in batches:
             s = model.score(_vectors(batch, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[2:]], ["doc_id", "score", *names])
@@ -214,6 +216,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     names = docs.columns
 
     def run(batches):
+        claim()
         for batch in batches:
             at = batch.schema.get_field_index("text")
             good = model.score(_vectors(batch, at)) >= threshold

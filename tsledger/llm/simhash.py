@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, free_name, require, small, text_of, without, written
+from .common import claim, drop_table, free_name, require, small, text_of, without, written
 from .components import components
 
 SHINGLE = 3
@@ -97,6 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     require(docs, ("doc_id", "text"))
 
     def run(batches):
+        claim()
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
@@ -247,6 +248,7 @@ def marks(docs: DataFrame) -> DataFrame:
     require(docs, ("doc_id", "text"))
 
     def run(batches):
+        claim()
         for batch in batches:
             for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
                 fps, sids, sets, bands, sketches = zip(*(_marked(_words(t.as_py())) for t in part.column(3)))
@@ -323,6 +325,7 @@ class _Group:
 
 def _linked(batches, similarity: float):
     """Links ``u, v`` between fingerprints of sorted rows ``key, low, high, part, row, root, fp, shingles, sketch``."""
+    claim()
     held: list[pa.RecordBatch] = []
 
     def links(table: pa.Table):

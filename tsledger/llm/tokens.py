@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, require
+from .common import Recent, claim, require
 
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -158,6 +158,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     require(docs, ("doc_id", "text"))
 
     def run(batches):
+        claim("tokens", counter.cache_clear)
         count = counter(vocabulary or vocabulary_path()).count
         for batch in batches:
             n = [count(t.as_py()) for t in batch.column(2)]

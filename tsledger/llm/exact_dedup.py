@@ -189,8 +189,8 @@ def keep_first(docs: DataFrame, bucket_digests: int = BUCKET_DIGESTS) -> DataFra
     very many; rows that repeat id and text are made one only where such rows exist.
     """
     rows = written(digests(docs), "digests")
-    gone = rows.join(classes(rows, bucket_digests), "digest").filter(~F.col("doc_id").eqNullSafe(F.col("win_id")))
-    gone = written(gone.select(F.col("doc_id").alias("id"), "digest").distinct(), "gone")
+    gone = rows.join(classes(rows, bucket_digests).filter("n > 1"), "digest").filter(~F.col("doc_id").eqNullSafe(F.col("win_id")))
+    gone = written(gone.select(F.col("doc_id").alias("id"), "digest"), "gone")
     again = rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
     drop_table(docs.sparkSession, rows)
     out = without(docs, gone, _digest())

@@ -403,12 +403,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, **options) -> Data
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("win")
     slim = own.select("doc_id", "digest", "fp")
     rooted = slim.join(classes, "fp")
-    stay = rooted.groupBy(F.col("root").alias("__r")).agg(first)
+    # only groups of several rows lose any; both sides of the join are plain, so a large group's rows may be split
+    stay = written(rooted.groupBy(F.col("root").alias("__r")).agg(first, F.count(F.lit(1)).alias("c")).filter("c > 1"), "stay")
     won = F.col("doc_id").eqNullSafe(F.col("win.doc_id")) & (F.col("digest") == F.col("win.digest"))
-    gone = rooted.join(stay, F.col("root") == F.col("__r")).filter(~won).select(F.col("doc_id").alias("id"), "digest").distinct()
+    gone = rooted.join(stay, F.col("root") == F.col("__r")).filter(~won).select(F.col("doc_id").alias("id"), "digest")
     gone = written(gone, "gone")
     again = slim.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
-    for spent in (own, classes):
+    for spent in (own, classes, stay):
         drop_table(docs.sparkSession, spent)
     out = without(docs, gone, _digest())
     if not again:

@@ -156,12 +156,12 @@ def store_bounds(spark, sf_dir):
     return _values(spark, [(d, *f.time_range(d)) for d in DEVICES if f.time_range(d)], "device string, first long, last long")
 
 
-@query("store_sinks", f"WITH {LOG}, {_snap(None)}, c AS (SELECT device, count(*) AS rows, sum(user_id)::bigint AS users, min(t) * {S} AS first FROM snap GROUP BY device) SELECT sink, c.* FROM c, (VALUES ('arrow'), ('batches'), ('dict'), ('pandas'), ('reader')) s(sink)")
+@query("store_sinks", f"WITH {LOG}, {_snap(None)}, c AS (SELECT device, count(*) AS rows, sum(user_id)::bigint AS users, min(t) * {S} AS first FROM snap WHERE device IN ('click', 'view') GROUP BY device) SELECT sink, c.* FROM c, (VALUES ('arrow'), ('batches'), ('dict'), ('pandas'), ('reader')) s(sink)")
 def store_sinks(spark, sf_dir):
-    """A device as Arrow table, record batches, lists, pandas frame and through the module functions."""
+    """Two devices as Arrow table, record batches, lists, pandas frame and through the module functions."""
     f, rows = event_store(spark, sf_dir), []
     stamp = lambda x: x.cast(pa.timestamp("s", tz="UTC")).cast(pa.int64())
-    for d in DEVICES:
+    for d in ("click", "view"):
         table, read = f.read_arrow(d), store.read_arrow(f.path, d, spark=spark)
         if not len(table):
             continue
@@ -272,14 +272,29 @@ def store_labelled(spark, sf_dir):
 # ---- editing
 
 
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, sf_dir: str, name: str, make) -> str:
+    """The path of a store that is made once for a session and its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE or not Files(spark, _MADE[key]).exists():
+        _MADE[key] = make().path
+    return _MADE[key]
+
+
 def _copy(spark, sf_dir: str) -> store.File:
     """A store of one's own with the newest version."""
-    return event_store(spark, sf_dir).compact(scratch(spark, "copy"))
+    own = Files(spark, _once(spark, sf_dir, "compact", lambda: event_store(spark, sf_dir).compact(scratch(spark, "compact"))))
+    target = scratch(spark, "copy")
+    own.jvm.org.apache.hadoop.fs.FileUtil.copy(own.fs, own.path(), own.fs, own.jvm.org.apache.hadoop.fs.Path(target), False, own.conf)
+    return store.open(target, spark)
 
 
 @query("compact_snapshot", f"WITH {LOG}, {_snap(None)} {_POINTS}")
 def compact_snapshot(spark, sf_dir):
-    f = _copy(spark, sf_dir)
+    f = event_store(spark, sf_dir)
+    f = f.compact(scratch(spark, "compact"))
     return _all(spark, {d: f.dataframe(d) for d in DEVICES})
 
 
@@ -291,6 +306,10 @@ _EDITED = f"""edited AS (
 
 
 def _edited(spark, sf_dir: str) -> store.File:
+    return store.open(_once(spark, sf_dir, "edited", lambda: _edit(spark, sf_dir)), spark)
+
+
+def _edit(spark, sf_dir: str) -> store.File:
     """Cells of points set, points and a range deleted, rows inserted and a label set, in one transaction."""
     f = _copy(spark, sf_dir)
     own = f.read("view")

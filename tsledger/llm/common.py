@@ -155,9 +155,14 @@ def claim(name: str | None = None, clear: Callable[[], None] | None = None) -> N
     if clear is not None:
         _TABLES[name] = clear
     if freed:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Recent(dict):
@@ -177,3 +182,8 @@ class Recent(dict):
         if len(key) <= 100:
             self[key] = value
         return value
+
+    def forget(self) -> None:
+        """At the end of a task: an idle worker should hold no large table."""
+        self.clear()
+        self.old = {}

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, claim, require, written
+from .common import Recent, claim, require, trim, written
 
 LENGTH = 1024
 END = 2
@@ -190,7 +190,8 @@ def pack_partitions(docs: DataFrame, vocabulary: str | None = None, length: int
         from .tokens import vocabulary_path
 
         claim("packing", tokens.cache_clear)
-        of, packer, out = tokens(vocabulary or vocabulary_path(VOCABULARY)).ids, BestFit(length, open_bins), _Rows(PIECES, False)
+        table = tokens(vocabulary or vocabulary_path(VOCABULARY))
+        of, packer, out = table.ids, BestFit(length, open_bins), _Rows(PIECES, False)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = of(text.as_py()) + tail
@@ -198,6 +199,8 @@ def pack_partitions(docs: DataFrame, vocabulary: str | None = None, length: int
                     out.put(packer.add((doc_id, k, start, n, ids[4 * start : 4 * (start + n)]), n), False)
                 yield from out.full()
         out.put(packer.finish(), True)
+        table.chunks.forget()
+        trim()
         yield out.rest()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _DDL)

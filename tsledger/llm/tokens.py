@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, claim, require
+from .common import Recent, claim, require, trim
 
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -159,10 +159,14 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
 
     def run(batches):
         claim("tokens", counter.cache_clear)
-        count = counter(vocabulary or vocabulary_path()).count
+        table = counter(vocabulary or vocabulary_path())
+        count = table.count
         for batch in batches:
             n = [count(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        table.chunks.forget()
+        table.pieces.forget()
+        trim()
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))

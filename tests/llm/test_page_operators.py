@@ -124,6 +124,29 @@ def test_features_and_tensors_against_the_formulas(spark):
         assert float(r.feature.split(":")[2]) == pytest.approx((image[..., 1] ** 2).mean(), abs=40)
 
 
+def test_query_stores_tensors_and_reads_them_back(spark, tmp_path):
+    texts = [(1, None), (2, ""), (3, "plain text " * 90), (4, "é" * 400), (5, "word " * 9000), (3, "again"), (None, "plain text " * 90)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    result = media.op9_media(spark, str(tmp_path))
+    place = media.Stored.at(common.MADE[-1])
+    assert result.inputFiles() and all(f.rsplit("/", 2)[-2] == "tensors" for f in result.inputFiles())
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "height", "width", "feature")
+    rows = Counter(tuple(r) for r in result.collect())
+    assert result.columns == list(columns) and rows == Counter(tuple(r) for r in media.read_media(spark.read.parquet(place.media)).collect())
+    by = {hashlib.sha256(media.payload_of(t)).hexdigest(): t for _, t in texts}
+    stored = media.read_tensors(spark, place).collect()
+    assert Counter(r.doc_id for r in stored) == Counter(d for d, _ in texts)
+    for r in stored:
+        image = slow_image(media.payload_of(by[r.payload_sha256]))
+        tensor = np.frombuffer(r.tensor, np.uint8).reshape(r.height, r.width, 3)
+        assert tensor.shape == image.shape and np.abs(tensor - image).max() <= 3
+    plain = spark.createDataFrame([(7, 2, 3, bytes([10, 20, 30]) * 6)], "id long, height int, width int, tensor binary")
+    assert [tuple(r) for r in media.read_features(plain).collect()] == [(7, 2, 3, "2x3:10.000,20.000,30.000:400.00")]
+    frame.filter("false").write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert media.op9_media(spark, f"{tmp_path}/empty").collect() == []
+
+
 # ---- archives
 
 

@@ -12,8 +12,9 @@ payloads give equal tensors wherever they run), doubles the Cr plane and convert
 the profile written here - progressive, restart interval 1, these sampling factors - with any Huffman tables, and
 raises ValueError for other files.
 
-:func:`store_media` writes the media column to the shared folder, and beside it, where asked for, a table of tensors;
-:func:`read_media` and :func:`read_tensors` read them back.
+:func:`store_media` writes the media column to the shared folder, and beside it, unless told not to, a table of tensors
+decoded from the written media; :func:`read_media` and :func:`read_tensors` read them back, :func:`read_features` takes
+the features from the stored tensors.
 
 Defined cases: a null or empty text is one unit of padding; a very long text is coded and decoded whole, in parts;
 equal texts give equal media; repeated or null ids are treated row by row; an empty table gives an empty result;
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import MADE, claim, require, table_path
 
@@ -43,6 +45,8 @@ WIDE = 64
 STEP = 1500
 #: Segments of a scan that are coded or read at a time, so a very long text costs no more working memory.
 CHUNK = 32_768
+#: Pixels of a tensor that are summed at a time.
+PIXELS = 1 << 18
 #: Sampling factors (horizontal, vertical) of Y, Cb, Cr.
 FACTORS = ((2, 2), (2, 2), (1, 1))
 #: (components, first, last coefficient, high, low bit) of each scan.
@@ -534,6 +538,17 @@ def unit_rgb(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def feature_of(rgb: np.ndarray, height: int, width: int) -> str:
+    """Size, means of red, green and blue, mean square of green; the pixels (... x 3) may come in any order."""
+    flat = rgb.reshape(-1, 3)
+    total, square = np.zeros(3, np.int64), 0
+    for a in range(0, len(flat), PIXELS):
+        part = flat[a : a + PIXELS].T.astype(np.int64, order="C")
+        total += part.sum(axis=1)
+        square += int(part[1] @ part[1])
+    return f"{height}x{width}:" + ",".join(f"{x / len(flat):.3f}" for x in total.tolist()) + f":{square / len(flat):.2f}"
+
+
 def _ranges(sizes, step: int):
     """Runs of items of about ``step`` in all."""
     begin = total = 0
@@ -551,15 +566,11 @@ def decode(media: list[bytes], tensors: bool = False) -> list[tuple]:
     files = [File(m) for m in media]
     coefs, base = coefficients(files)
     rgb = unit_rgb(samples(coefs))
-    sums = rgb.reshape(len(rgb), -1, 3).sum(axis=1, dtype=np.int64)
-    squares = (rgb[..., 1].astype(np.int64) ** 2).reshape(len(rgb), -1).sum(axis=1)
-    sums, squares = np.add.reduceat(sums, base, axis=0), np.add.reduceat(squares, base)
     data = (coefs + 128).astype(np.uint8).tobytes()
     out = []
-    for f, b, total, square in zip(files, base.tolist(), sums.tolist(), squares.tolist()):
+    for f, b in zip(files, base.tolist()):
         n = f.wide * f.high
-        pixels = 256 * n
-        feature = f"{16 * f.high}x{16 * f.wide}:" + ",".join(f"{x / pixels:.3f}" for x in total) + f":{square / pixels:.2f}"
+        feature = feature_of(rgb[b : b + n], 16 * f.high, 16 * f.wide)
         tensor = rgb[b : b + n].reshape(f.high, f.wide, 16, 16, 3).transpose(0, 2, 1, 3, 4).tobytes() if tensors else None
         out.append((data[b * UNIT : b * UNIT + f.size], 16 * f.high, 16 * f.wide, feature, tensor))
     return out
@@ -623,12 +634,12 @@ class Stored:
 
 
 def store_media(docs: DataFrame, place: Stored, tensors: bool = True) -> Stored:
-    """Write ``doc_id, n_bytes, media`` of every text, and ``doc_id, media_sha256, height, width, tensor`` decoded from
-    the written media."""
+    """Write ``doc_id, n_bytes, media`` of every text, and, decoded from the written media, each row's digests (the columns
+    of :func:`read_media` but the feature) with its ``tensor``."""
     media_columns(docs).write.option("compression", "zstd").parquet(place.media)
     if tensors:
         decoded = read_media(docs.sparkSession.read.parquet(place.media), True)
-        decoded.select("doc_id", "media_sha256", "height", "width", "tensor").write.option("compression", "zstd").parquet(place.tensors)
+        decoded.drop("feature").write.option("compression", "zstd").parquet(place.tensors)
     return place
 
 
@@ -637,12 +648,27 @@ def read_tensors(spark, place: Stored) -> DataFrame:
     return spark.read.parquet(place.tensors)
 
 
-def op9_media(spark, sf_dir: str) -> DataFrame:
-    """Every row of ``documents``: media are written to the shared folder and read back from there.
+def read_features(tensors: DataFrame) -> DataFrame:
+    """The columns of a table of tensors, with the feature of each in the tensor's place.  No shuffle."""
+    require(tensors, ("height", "width", "tensor"))
+    kept = tensors.drop("tensor").schema
+
+    def run(batches):
+        claim()
+        for batch in batches:
+            sizes = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("height", "width")))
+            at = batch.schema.get_field_index("tensor")
+            features = [feature_of(np.frombuffer(t.as_buffer(), np.uint8), h, w) for t, (h, w) in zip(batch.column(at), sizes)]
+            columns = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(features, pa.string())], [*kept.names, "feature"])
+
+    return tensors.mapInArrow(run, StructType([*kept.fields, StructField("feature", StringType())]))
 
-    The tensors that the features are taken from are not written here: see the README for their size.
-    """
+
+def op9_media(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: media are written to the shared folder, read back from there and decoded to tensors,
+    which are written beside them; the features come from the stored tensors."""
     path = table_path(spark, "media")
     MADE.append(path)
-    place = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), Stored.at(path), tensors=False)
-    return read_media(spark.read.parquet(place.media))
+    place = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), Stored.at(path))
+    return read_features(read_tensors(spark, place))

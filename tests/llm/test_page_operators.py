@@ -147,6 +147,19 @@ def test_query_stores_tensors_and_reads_them_back(spark, tmp_path):
     assert media.op9_media(spark, f"{tmp_path}/empty").collect() == []
 
 
+def test_stored_media_of_texts_are_small(spark, tmp_path):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(300, 900))) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    media.store_media(frame, media.Stored.at(str(tmp_path)), tensors=False)
+    stored = sum(f.stat().st_size for f in tmp_path.glob("media/*.parquet"))
+    assert stored < 0.55 * sum(map(len, texts))
+    size = np.arange(1, 8)
+    assert (media.AC_SIZES[size] + size == 8).all() and (media.AC_SIZES[16 + size] + size == 16).all()
+    assert [x[0].rstrip(b"\xff").decode() for x in media.decode(media.encode([media.payload_of(t) for t in texts]))] == texts
+
+
 # ---- archives
 
 

@@ -45,6 +45,8 @@ WIDE = 64
 STEP = 1500
 #: Segments of a scan that are coded or read at a time, so a very long text costs no more working memory.
 CHUNK = 32_768
+#: Level of zstd for stored media; tensors gain nothing by more than the usual one.
+LEVEL = 6
 #: Pixels of a tensor that are summed at a time.
 PIXELS = 1 << 18
 #: Sampling factors (horizontal, vertical) of Y, Cb, Cr.
@@ -83,8 +85,9 @@ def _huffman(lengths: dict[int, int]):
     return bytes(counts[1:]) + bytes(symbols), codes, sizes
 
 
-#: Code lengths suit text: letters, then spaces and capitals; any other run and size is possible.
-_LENGTHS = {(r << 4) | s: 10 for r in range(16) for s in range(1, 9)} | {0xF0: 10, 0x05: 2, 0x04: 2, 0x07: 3, 0x06: 4, 0x03: 4, 0x00: 5, 0x08: 6, 0x02: 6, 0x01: 7}
+#: A code and the bits after it make a byte, or two after one zero, so the bytes of a text stay apart in the file and the
+#: table's compression finds what repeats; any other run and size is possible.
+_LENGTHS = {(r << 4) | s: 16 for r in range(16) for s in range(1, 9)} | {0xF0: 16, 0x00: 9} | {s: 8 - s for s in range(1, 8)} | {0x10 | s: 16 - s for s in range(1, 8)}
 AC_TABLE, AC_CODES, AC_SIZES = _huffman(_LENGTHS)
 DC_TABLE, DC_CODES, DC_SIZES = _huffman({s: 4 for s in range(12)})
 BITS = np.array([int(x).bit_length() for x in range(2048)], np.int64)
@@ -636,7 +639,7 @@ class Stored:
 def store_media(docs: DataFrame, place: Stored, tensors: bool = True) -> Stored:
     """Write ``doc_id, n_bytes, media`` of every text, and, decoded from the written media, each row's digests (the columns
     of :func:`read_media` but the feature) with its ``tensor``."""
-    media_columns(docs).write.option("compression", "zstd").parquet(place.media)
+    media_columns(docs).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(place.media)
     if tensors:
         decoded = read_media(docs.sparkSession.read.parquet(place.media), True)
         decoded.drop("feature").write.option("compression", "zstd").parquet(place.tensors)
